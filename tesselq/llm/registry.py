@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op10_pack_sequences
+from .quality_rules import OP6_SQL, op6_quality_rules
+from .simhash import op9_simhash_near_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_pack_sequences,)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_quality_rules, op9_simhash_near_dedup, op10_pack_sequences)}
+ORACLE: dict[str, str] = {"op6_quality_rules": OP6_SQL}

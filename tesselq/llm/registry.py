@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op2_license_scan
 from .packing import op10_pack_sequences
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .secrets import op1_secret_scan
 from .simhash import op9_simhash_near_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_quality_rules, op9_simhash_near_dedup, op10_pack_sequences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_license_scan,
+        op6_quality_rules,
+        op9_simhash_near_dedup,
+        op10_pack_sequences,
+    )
+}
 ORACLE: dict[str, str] = {"op6_quality_rules": OP6_SQL}

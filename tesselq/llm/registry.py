@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op5_language_id
 from .licenses import op2_license_scan
 from .packing import op10_pack_sequences
 from .quality_rules import OP6_SQL, op6_quality_rules
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scan,
         op2_license_scan,
+        op5_language_id,
         op6_quality_rules,
         op9_simhash_near_dedup,
         op10_pack_sequences,

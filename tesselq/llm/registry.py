@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .classifier import op7_quality_classifier
 from .language import op5_language_id
 from .licenses import op2_license_scan
 from .packing import op10_pack_sequences
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_license_scan,
         op5_language_id,
         op6_quality_rules,
+        op7_quality_classifier,
         op9_simhash_near_dedup,
         op10_pack_sequences,
     )

@@ -102,8 +102,12 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip((in_u / in_p).min(), 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 8, steps: int = 300, rate: float = 0.02, decay: float = 0.01, plain: bool = False) -> Net:
-    """Non-negative risk with the sigmoid loss, by Adam on the whole sets, from a fixed start. ``plain``: unlabelled count as negatives."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 8, steps: int = 300, rate: float = 0.02, decay: float = 1.5, plain: bool = False) -> Net:
+    """Non-negative risk with the sigmoid loss, by Adam on the whole sets, from a fixed start.
+
+    Weights decay by ``decay`` / positives, 0.01 at most. ``plain``: unlabelled count as negatives.
+    """
+    decay = min(0.01, decay / len(positive))
     both = np.concatenate((positive, unlabelled))
     rng = np.random.default_rng(7)
     k = both.shape[1]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import op7_quality_classifier
+from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .language import op5_language_id
 from .licenses import op2_license_scan
 from .packing import op10_pack_sequences
@@ -22,8 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_language_id,
         op6_quality_rules,
         op7_quality_classifier,
+        op8_benchmark_decontamination,
         op9_simhash_near_dedup,
         op10_pack_sequences,
     )
 }
-ORACLE: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+ORACLE: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL}

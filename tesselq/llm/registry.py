@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op4_chat_format
 from .classifier import op7_quality_classifier
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .language import op5_language_id
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scan,
         op2_license_scan,
+        op4_chat_format,
         op5_language_id,
         op6_quality_rules,
         op7_quality_classifier,

@@ -29,7 +29,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters scored at once; a longer run of letters is scored in parts.
 LONGEST = 48
 #: Words whose scores a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Pseudo-count of each piece, and probability of a character outside the vocabulary.
 SMOOTH, FLOOR = 0.05, 1e-7
 
@@ -53,49 +53,80 @@ def words_in(text: str) -> Counter:
 
 
 class Model:
-    """Piece probabilities by language, and the forward pass."""
+    """Piece probabilities by language, and the forward pass, many words at a time."""
 
     def __init__(self, langs: list[str], priors: list[float], table: dict[str, tuple[float, ...]]) -> None:
-        self.langs, self.priors = langs, np.log(priors)
-        self.table = table
-        self.longest = max(map(len, table), default=1)
-        self.floor = (FLOOR,) * len(langs)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log probability of the word by language, over all its segmentations."""
-        found = self.cache.get(word)
-        if found is None:
-            marked = MARK + word
-            n = len(marked)
-            forward: list[list[float] | None] = [[1.0] * len(self.langs)] + [None] * n
-            get = self.table.get
-            for start in range(n):
-                before = forward[start]
-                if before is None:
-                    continue
-                for end in range(start + 1, min(n, start + self.longest) + 1):
-                    p = get(marked[start:end])
-                    if p is None:
-                        if end > start + 1:
-                            continue
-                        p = self.floor
-                    now = forward[end]
-                    step = [a * b for a, b in zip(before, p, strict=True)]
-                    forward[end] = step if now is None else [a + b for a, b in zip(now, step, strict=True)]
-            found = np.log(np.maximum(forward[n], 1e-300))
-            if len(self.cache) < CACHE_WORDS:
-                self.cache[word] = found
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        count = words_in(text) if text else None
-        if not count or not self.langs or not any(c.isalpha() for w in count for c in w):
-            return UNKNOWN, 0.0
-        word = self.word
-        total = np.asarray(list(count.values()), float) @ np.asarray([word(w) for w in count]) + self.priors
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        self.langs, self.priors, self.table = langs, np.log(priors), table
+        # A trie of the pieces: state and character give the next state; a state may be a piece.
+        step: dict[tuple[int, str], int] = {}
+        pieces = {}
+        for piece in table:
+            state = 0
+            for c in piece:
+                state = step.setdefault((state, c), len(step) + 1)
+            pieces[state] = piece
+        keys = np.asarray([(s << 21) | ord(c) for s, c in step], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.asarray(list(step.values()), np.int64)[order]
+        self.is_piece = np.zeros(len(step) + 1, bool)
+        self.p = np.zeros((len(step) + 1, len(langs)))
+        for state, piece in pieces.items():
+            self.is_piece[state], self.p[state] = True, table[piece]
+        self.row: dict[str, int] = {}
+        self.matrix = np.zeros((0, len(langs)))
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word by language, over all its segmentations."""
+        out = np.zeros((len(words), len(self.langs)))
+        sizes = np.asarray([len(w) + 1 for w in words])
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(words), 8192):
+            rows = order[at : at + 8192]
+            out[rows] = self._score([MARK + words[i] for i in rows], sizes[rows])
+        return out
+
+    def _score(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
+        longest = int(sizes.max())
+        codes = np.frombuffer("".join(w.ljust(longest, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, longest).astype(np.int64)
+        forward = np.zeros((longest + 1, len(words), len(self.langs)))
+        forward[0] = 1
+        for start in range(longest):
+            alive = np.flatnonzero(sizes > start)
+            state = np.zeros(len(alive), np.int64)
+            for end in range(start + 1, longest + 1):
+                key = (state << 21) | codes[alive, end - 1]
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ok = (self.keys[found] == key) & (sizes[alive] >= end)
+                state = self.next[found]
+                if end == start + 1:  # every character may stand alone
+                    alone = alive[~(ok & self.is_piece[state])]
+                    forward[end, alone] += forward[start, alone] * FLOOR
+                alive, state = alive[ok], state[ok]
+                if not len(alive):
+                    break
+                whole = self.is_piece[state]
+                forward[end, alive[whole]] += forward[start, alive[whole]] * self.p[state[whole]]
+        return np.log(np.maximum(forward[sizes, np.arange(len(words))], 1e-300))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        counts = [words_in(t) if t and self.langs else Counter() for t in texts]
+        distinct = set().union(*counts)
+        new = list(distinct - self.row.keys())
+        if len(self.row) + len(new) > CACHE_WORDS:
+            self.row, self.matrix, new = {}, self.matrix[:0], list(distinct)
+        if new:
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            self.matrix = np.concatenate((self.matrix, self.score(new)))
+        out = []
+        for count in counts:
+            if not any(map(str.isalpha, count)) and not any(c.isalpha() for w in count for c in w):
+                out.append((UNKNOWN, 0.0))
+                continue
+            rows = np.fromiter(map(self.row.__getitem__, count), np.int64, len(count))
+            total = np.fromiter(count.values(), float, len(count)) @ self.matrix[rows] + self.priors
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def train(labelled: DataFrame, vocabulary_path: str, train_texts: int = 6000) -> Model:
@@ -149,7 +180,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for part in rows_of(batches, 4_000_000):
-            found = [own.predict(t) for t in part.column("text").to_pylist()]
+            found = own.predict(part.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").combine_chunks(), "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

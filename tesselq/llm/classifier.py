@@ -166,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, train_texts: int = 6000) -> Net |
     return fit(positive, unlabelled, min(prior, 0.98))
 
 
-def score(docs: DataFrame, net: Net | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score (0 to 1) for each row of ``docs``; 0.5 for all without a model.
+def score(docs: DataFrame, net: Net | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``name``, the score (0 to 1) for each row of ``docs``; 0.5 for all without a model.
 
     Null and empty texts are scored on zero features; repeated rows alike; an empty table gives no rows.
     """
@@ -176,10 +176,10 @@ def score(docs: DataFrame, net: Net | None, keep: tuple[str, ...] = ("doc_id",))
         for part in rows_of(batches, 4_000_000):
             x = np.asarray([features_of(t) for t in utf8(part.column("text"))], float)
             s = net.score(x) if net else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*(part.column(k).combine_chunks() for k in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k).combine_chunks() for k in keep), pa.array(s, pa.float64())], names=[*keep, name])
 
     types = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", score double")
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keep) + f", `{name}` double")
 
 
 def learned(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Net | None:
@@ -191,7 +191,7 @@ def learned(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Net | None:
 def reject(docs: DataFrame, net: Net | None, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score at least ``threshold``, all columns as they were."""
     names = docs.columns
-    return score(docs, net, tuple(names)).where(F.col("score") >= threshold).select(*names)
+    return score(docs, net, tuple(names), "_score").where(F.col("_score") >= threshold).select(*names)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ At similarity 0.8 two fingerprints differ by 10 bits of 64 on average, with devi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 24, 16, 4
 #: Shingles of items that one pass broadcasts; more items are taken in blocks, one pass over the documents each.
 BLOCK_SHINGLES = 250_000
+#: Windows (three numbers each) that are broadcast to fetch their texts again; more are joined by a shuffle.
+BROADCAST_STARTS = 300_000
 
 WORDS = r"array_remove(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), '')"
 HASHES = f"if(size(_words) < {SHINGLE}, array(), transform(sequence(0, size(_words) - {SHINGLE}), i -> xxhash64({', '.join(f'_words[i + {k}]' for k in range(SHINGLE))})))"
@@ -35,15 +39,27 @@ def shingled(texts: DataFrame) -> DataFrame:
     return texts.withColumn("_words", F.expr(WORDS)).withColumn("_hashes", F.expr(HASHES)).drop("_words", "text")
 
 
-def windows(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct (keys, item_id, _s, _t): shingles of a window that shares one with the item at the item's place for it, and of the item."""
-    places = items.select("item_id", F.col("_hashes").alias("_t"), F.posexplode("_hashes").alias("_off", "_h"))
-    # The outer form keeps Catalyst from filtering on the arrays' size below, which would split each text once for each word.
-    at = shingled(docs.select(*keys, "text")).select(*keys, "_hashes", F.posexplode_outer("_hashes").alias("_pos", "_h"))
-    found = at.join(F.broadcast(places), "_h")
-    last = F.greatest(F.size("_hashes") - F.size("_t"), F.lit(0))
-    start = F.greatest(F.lit(0), F.least(F.col("_pos") - F.col("_off"), last))
-    return found.select(*keys, "item_id", F.slice("_hashes", start + 1, F.size("_t")).alias("_s"), "_t").distinct()
+def starts(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (keys, item, start, size) of the windows that share a shingle with the item at the item's place for it."""
+    places = items.select("_item", F.size("_hashes").alias("_size"), F.posexplode("_hashes").alias("_off", "_h"))
+    # Only numbers go through the explosion. Its outer form keeps Catalyst from filtering on the arrays' size below,
+    # which would split each text once for each of its words.
+    at = shingled(docs).select(*keys, F.size("_hashes").alias("_n"), F.posexplode_outer("_hashes").alias("_pos", "_h"))
+    start = F.greatest(F.lit(0), F.least(F.col("_pos") - F.col("_off"), F.greatest(F.col("_n") - F.col("_size"), F.lit(0))))
+    return at.join(F.broadcast(places), "_h").select(*keys, "_item", start.alias("_start"), "_size").distinct()
+
+
+def windows(docs: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (keys, _item, _s): the shingles of each window of ``starts``, a stored table."""
+    wanted = starts.groupBy(*keys).agg(F.collect_list(F.struct("_item", "_start", "_size")).alias("_at"))
+    if starts.count() <= BROADCAST_STARTS:
+        wanted = F.broadcast(wanted)
+    wanted = wanted.select(*(F.col(k).alias(f"{k}_") for k in keys), "_at")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    found = shingled(docs.join(wanted, same).drop(*(f"{k}_" for k in keys)))
+    # _hashes is named twice, so that it is computed before the lambda and not inside.
+    cut = "if(size(_hashes) > 0, transform(_at, x -> struct(x._item AS _item, slice(_hashes, x._start + 1, x._size) AS _s)), NULL)"
+    return found.select(*keys, F.explode_outer(F.expr(cut)).alias("_cut")).select(*keys, "_cut._item", "_cut._s").distinct()
 
 
 def blocks(fp: str) -> list[F.Column]:
@@ -51,30 +67,27 @@ def blocks(fp: str) -> list[F.Column]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each (keys, item_id) with a window of at least ``similarity``: and the best similarity.
+    """One row for each (keys, item_id) with a window of at least ``similarity``, and the best similarity.
 
     ``docs`` has the columns ``keys`` and text, ``benchmark`` item_id and text. A document shorter than the
     item is one window. Texts of fewer than five words (null and empty ones too) have no shingles and match
     nothing. Rows with equal keys are told together; a null key is a key like any other; rows of one item_id
     are items of their own until the last step. Other columns are ignored; no rows on either side give none.
     """
-    keys_ = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
     names = [f"_key{i}" for i in range(len(keys))]
-    docs = docs.select(*keys_, "text")
+    docs = docs.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.xxhash64("text").alias("_row"), "text")
     items = materialize(shingled(benchmark.select("item_id", "text")), "items").where("size(_hashes) > 0").distinct()
+    items = items.withColumn("_item", F.xxhash64("item_id", "_hashes"))
     n = items.agg(F.sum(F.size("_hashes"))).first()[0] or 0
     passes = max(1, -(-n // BLOCK_SHINGLES))
-    found = None
-    for k in range(passes):
-        block = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "_hashes"), F.lit(passes)) == k)
-        part = windows(docs, block, names)
-        found = part if found is None else found.union(part)
-    candidates = found.withColumn("_fp", F.expr(SIMHASH))
-    index = items.select("item_id", F.col("_hashes").alias("_t"), F.expr(SIMHASH.replace("_s", "_hashes")).alias("_of"))
-    index = index.select("item_id", "_t", "_of", F.posexplode(F.array(*blocks("_of"))).alias("_block", "_value"))
+    parts = [starts(docs, items.where(F.pmod("_item", F.lit(passes)) == k), [*names, "_row"]) for k in range(passes)]
+    at = materialize(reduce(DataFrame.union, parts), "starts")
+    candidates = windows(docs, at, [*names, "_row"]).withColumn("_fp", F.expr(SIMHASH))
+    index = items.select("item_id", "_item", F.col("_hashes").alias("_t"), F.expr(SIMHASH.replace("_s", "_hashes")).alias("_of"))
+    index = index.select("item_id", "_item", "_t", "_of", F.posexplode(F.array(*blocks("_of"))).alias("_block", "_value"))
     flips = F.array(F.lit(0), *(F.lit(1 << b) for b in range(BLOCK_BITS)))
-    index = index.select("item_id", "_t", "_of", "_block", F.explode(F.transform(flips, lambda f: F.col("_value").bitwiseXOR(f))).alias("_value"))
-    met = candidates.select("*", F.posexplode(F.array(*blocks("_fp"))).alias("_block", "_value")).join(index, ["item_id", "_t", "_block", "_value"])
+    index = index.select("item_id", "_item", "_t", "_of", "_block", F.explode(F.transform(flips, lambda f: F.col("_value").bitwiseXOR(f))).alias("_value"))
+    met = candidates.select("*", F.posexplode(F.array(*blocks("_fp"))).alias("_block", "_value")).join(index, ["_item", "_block", "_value"])
     near = met.where(F.bit_count(F.col("_fp").bitwiseXOR(F.col("_of"))) <= RADIUS).select(*names, "item_id", "_s", "_t").distinct()
     scored = near.withColumn("_shared", F.expr(SHARED)).withColumn("similarity", F.expr("_shared / (size(_s) + size(_t) - _shared)"))
     best = scored.where(F.col("similarity") >= similarity).groupBy(*names, "item_id").agg(F.max("similarity").alias("similarity"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op4_chat_format
 from .classifier import op7_quality_classifier
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
+from .katz import op3_katz_score
 from .language import op5_language_id
 from .licenses import op2_license_scan
 from .packing import op10_pack_sequences
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scan,
         op2_license_scan,
+        op3_katz_score,
         op4_chat_format,
         op5_language_id,
         op6_quality_rules,

@@ -25,20 +25,37 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared scratch folder and read it back.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The files outlive lost executors; the driver's JVM removes them when it ends.
+
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet to the shared scratch folder (in a subfolder for each value of ``by``) and read it back.
+
+    The files outlive lost executors; the driver's JVM removes them when it ends. The write's own shuffle
+    files go as soon as it is done.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame, subfolder: str) -> None:
+    """Remove a subfolder of a table that ``materialize`` wrote; nothing may read that part again."""
+    spark = df.sparkSession
+    folder = {f.rsplit("/", 2)[0] for f in df.inputFiles() if f"/{subfolder}/" in f}
+    for path in folder:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{subfolder}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the column's decimal text, modulo n (null for null)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(n)

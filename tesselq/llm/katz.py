@@ -11,7 +11,7 @@ needs, with its own training counts, as one sorted array, and gets totals back i
 rows that move are arrays, their total is linear in the corpus, and what Spark sorts are batch and
 partition numbers. A frequent history (over a 512th of all tokens: so at most 512 of them, and the start
 of a text) is dealt over all partitions by the following word, and its sums are added up by each batch.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, those after one rarer history by 56 bits.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of, table, utf8
+from .common import forget, materialize, rows_of, table, utf8
 
 CUTOFF, HOT_SHARE = 5, 512
 SEED = 42
 #: Not words: no word holds white space.
 START, END = b"\n<", b"\n>"
 ROWS = "kind int, batch long, part int, payload binary"
-STATE, UNIGRAMS, BIGRAMS, TOTALS, COUNTS = range(5)
+STATE, UNIGRAMS, BIGRAMS, TOTALS, FOLLOWERS, COUNTS = range(6)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -73,7 +73,7 @@ def grouped(df: DataFrame, key: str, fn: Callable[[int, list[tuple[int, int, int
             for out in fn(k, list(group)):
                 yield batch_of([out])
 
-    return df.repartition(key).sortWithinPartitions(key, "kind", "batch", "part").mapInArrow(run, ROWS)
+    return df.select("kind", "batch", "part", "payload").repartition(key).sortWithinPartitions(key, "kind", "batch", "part").mapInArrow(run, ROWS)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -167,39 +167,47 @@ def sums(df: DataFrame) -> np.ndarray:
     return out
 
 
-def ask_bigrams(parts: int, uni: Unigrams) -> Callable:
-    """Of a batch with its unigram totals: the next STATE and the BIGRAMS rows for the partitions."""
-    shift = np.uint64(64 - (parts.bit_length() - 1))
+class Bigrams:
+    """A batch's distinct bigrams, by partition, history and word; and its runs of one history in one partition.
 
-    def fn(batch: int, rows: list[tuple]) -> list[tuple]:
-        ids, null, known, size, token, hashes, start = unpack(rows[0][3])
-        total = np.concatenate([unpack(r[3])[0] for r in rows[1:]])
-        first = np.cumsum(size) - size
+    ``rows`` are the batch's STATE row and its unigram TOTALS. A frequent history has a run in every partition.
+    """
+
+    def __init__(self, rows: list[tuple], parts: int, uni: Unigrams) -> None:
+        self.ids, self.null, self.known, self.size, token, self.hashes, start = unpack(rows[0][3])
+        self.total = np.concatenate([unpack(r[3])[0] for r in rows[1:]])
+        self.first = np.cumsum(self.size) - self.size
         before = np.empty_like(token)
         before[1:] = token[:-1]
-        before[first] = start[0]
-        place = (hashes >> shift).astype(np.int64) if parts > 1 else np.zeros(len(hashes), np.int64)
-        hot = total * HOT_SHARE > uni.tokens
-        hot[start[0]] = True
-        u = len(hashes)
-        part = np.where(hot[before], place[token], place[before])
-        key, which = np.unique((part * u + before) * u + token, return_inverse=True)
-        train = np.bincount(which[np.repeat(known, size)], minlength=len(key)).astype(np.uint32)
-        word, run_of = key % u, key // u
-        here = np.flatnonzero(hot)
-        runs = np.unique(np.concatenate((run_of, (np.arange(parts)[:, None] * u + here).ravel())))
-        length = np.bincount(np.searchsorted(runs, run_of), minlength=len(runs)).astype(np.uint32)
-        history, owner = runs % u, runs // u
-        seen = total[token]
-        by_doc = lambda x: np.add.reduceat(x, first)
-        base = np.log10((seen + 1) / (uni.tokens + uni.words + 1))
-        state = pack(ids, null, size, by_doc((seen > 0).astype(np.int64)), by_doc(base), which.astype(np.int32), total[word], history.astype(np.int32), length, np.asarray([u]))
-        out = [(STATE, batch, -1, state)]
-        run_cut = np.searchsorted(owner, np.arange(parts + 1))
-        key_cut = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))[run_cut]
+        before[self.first] = start[0]
+        u = self.words = len(self.hashes)
+        place = (self.hashes >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(u, np.int64)
+        self.hot = self.total * HOT_SHARE > uni.tokens
+        self.hot[start[0]] = True
+        part = np.where(self.hot[before], place[token], place[before])
+        key, self.which = np.unique((part * u + before) * u + token, return_inverse=True)
+        self.token, self.word = token, key % u
+        run_of = key // u
+        runs = np.unique(np.concatenate((run_of, (np.arange(parts)[:, None] * u + np.flatnonzero(self.hot)).ravel())))
+        self.length = np.bincount(np.searchsorted(runs, run_of), minlength=len(runs)).astype(np.uint32)
+        self.history = runs % u
+        self.run_cut = np.searchsorted(runs // u, np.arange(parts + 1))
+        self.key_cut = np.concatenate(([0], np.cumsum(self.length, dtype=np.int64)))[self.run_cut]
+
+
+def ask_bigrams(parts: int, uni: Unigrams) -> Callable:
+    """Of a batch: its BIGRAMS rows for the partitions."""
+
+    def fn(batch: int, rows: list[tuple]) -> list[tuple]:
+        b = Bigrams(rows, parts, uni)
+        train = np.bincount(b.which[np.repeat(b.known, b.size)], minlength=len(b.word)).astype(np.uint32)
+        name = b.hashes[b.word]
+        # Words after one history that isn't frequent are few enough to tell apart by 56 bits.
+        name = np.where(b.hot[np.repeat(b.history, b.length)], name, name & np.uint64(0xFFFFFFFFFFFFFF00))
+        out = []
         for p in range(parts):
-            r, k = slice(run_cut[p], run_cut[p + 1]), slice(key_cut[p], key_cut[p + 1])
-            out.append((BIGRAMS, batch, p, pack(hashes[history[r]], length[r], hashes[word[k]], train[k], total[word[k]])))
+            r, k = slice(b.run_cut[p], b.run_cut[p + 1]), slice(b.key_cut[p], b.key_cut[p + 1])
+            out.append((BIGRAMS, batch, p, pack(b.hashes[b.history[r]], b.length[r], name[k], train[k], b.total[b.word[k]].astype(np.uint64))))
         return out
 
     return fn
@@ -225,15 +233,15 @@ def sum_bigrams(uni: Unigrams) -> Callable:
         h, w = key // max(1, len(words)), key % max(1, len(words))
         n = len(histories)
         small = np.stack([np.bincount(h[c == r], minlength=n) for r in range(1, CUTOFF + 1)], 1).astype(np.uint32)
-        total = np.bincount(h, weights=c, minlength=n)
-        big = np.bincount(h, weights=np.where(c > CUTOFF, c, 0), minlength=n)
+        total = np.bincount(h, weights=c, minlength=n).astype(np.int64)
+        big = np.bincount(h, weights=np.where(c > CUTOFF, c, 0), minlength=n).astype(np.int64)
         mass = np.bincount(h[c > 0], weights=uni.p(of_word[w[c > 0]]), minlength=n)
         key_cut = np.cumsum([0, *(len(a[2]) for a in asked)])
         run_cut = np.cumsum([0, *(len(a[0]) for a in asked)])
         out = []
         for i, r in enumerate(rows):
             at = run_at[run_cut[i] : run_cut[i + 1]]
-            out.append((TOTALS, r[1], part, pack(c[inverse[key_cut[i] : key_cut[i + 1]]], *(small[at, k] for k in range(CUTOFF)), total[at], big[at], mass[at])))
+            out.append((FOLLOWERS, r[1], part, pack(c[inverse[key_cut[i] : key_cut[i + 1]]], *(small[at, k] for k in range(CUTOFF)), total[at], big[at], mass[at])))
         counts = np.bincount(c[c <= CUTOFF + 1], minlength=CUTOFF + 2)
         return [*out, (COUNTS, -1, part, pack(np.asarray([c.sum(), (c > 0).sum(), *counts], np.int64)))]
 
@@ -254,24 +262,28 @@ def weights(small: np.ndarray, total: np.ndarray, big: np.ndarray, mass: np.ndar
     return scale, np.where(total > 0, left / np.maximum(1 - mass, 1e-12), 1.0)
 
 
-def score_batch(uni: Unigrams, d: np.ndarray) -> Callable:
+def score_batch(parts: int, uni: Unigrams, d: np.ndarray) -> Callable:
+    """Of a batch, with its unigram TOTALS and FOLLOWERS: one row with the scores of its texts."""
+
     def fn(batch: int, rows: list[tuple]) -> list[tuple]:
-        ids, null, size, n_known, base, which, of_word, history, length, (u,) = unpack(rows[0][3])
-        got = list(zip(*(unpack(r[3]) for r in rows[1:]), strict=True))
-        c, *sums_ = (np.concatenate(x) for x in got)
+        b = Bigrams([r for r in rows if r[0] != FOLLOWERS], parts, uni)
+        c, *found = (np.concatenate(x) for x in zip(*(unpack(r[3]) for r in rows if r[0] == FOLLOWERS), strict=True))
         # A frequent history's sums come from every partition.
-        sums_ = [np.bincount(history, weights=x, minlength=u) for x in sums_]
-        small, (total, big, mass) = np.stack(sums_[:CUTOFF], 1), sums_[CUTOFF:]
+        found = [np.bincount(b.history, weights=x, minlength=b.words) for x in found]
+        small, (total, big, mass) = np.stack(found[:CUTOFF], 1), found[CUTOFF:]
         scale, backoff = weights(small, total, big, mass, d)
-        before = np.repeat(history, length)
+        before = np.repeat(b.history, b.length)
         seen = scale[before] * d[np.where(c <= CUTOFF, c, 0)] * c / np.maximum(total[before], 1)
-        p = np.log10(np.where(c > 0, seen, backoff[before] * uni.p(of_word)))
-        return [(STATE, batch, -1, pack(ids, null, size.astype(np.int64), n_known, base, np.add.reduceat(p[which], np.cumsum(size) - size)))]
+        p = np.log10(np.where(c > 0, seen, backoff[before] * uni.p(b.total[b.word])))
+        known = b.total[b.token]
+        base = np.log10((known + 1) / (uni.tokens + uni.words + 1))
+        sums_ = (np.add.reduceat(x, b.first) for x in ((known > 0).astype(np.int64), base, p[b.which]))
+        return [(STATE, batch, -1, pack(b.ids, b.null, b.size.astype(np.int64), *sums_))]
 
     return fn
 
 
-def katz_scores(docs: DataFrame, learns: Callable[[int | None], bool], batch_bytes: int = 16_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, learns: Callable[[int | None], bool], batch_bytes: int = 10_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text).
 
     ``learns(doc_id)`` says which rows the model is fitted on; all are scored. Tokens are runs of anything but
@@ -283,15 +295,15 @@ def katz_scores(docs: DataFrame, learns: Callable[[int | None], bool], batch_byt
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 << math.ceil(math.log2(max(1, size / batch_bytes)))
-    tokens = materialize(tokenise(docs, parts, batch_bytes, learns), "tokens")
+    tokens = materialize(tokenise(docs, parts, batch_bytes, learns), "tokens", by="kind")
     unigrams = materialize(grouped(tokens.where(F.col("kind") == UNIGRAMS), "part", sum_unigrams), "unigrams")
+    forget(tokens, f"kind={UNIGRAMS}")
     n, words, *small = sums(unigrams).tolist()
     uni = Unigrams(n, words, np.asarray(small))
-    asked = tokens.where(F.col("kind") == STATE).union(unigrams.where(F.col("kind") == TOTALS))
-    asked = materialize(grouped(asked, "batch", ask_bigrams(parts, uni)), "histories")
-    bigrams = materialize(grouped(asked.where(F.col("kind") == BIGRAMS), "part", sum_bigrams(uni)), "bigrams")
+    state = tokens.where(F.col("kind") == STATE).select(unigrams.columns).union(unigrams.where(F.col("kind") == TOTALS))
+    bigrams = materialize(grouped(grouped(state, "batch", ask_bigrams(parts, uni)), "part", sum_bigrams(uni)), "bigrams")
     d = discounts(sums(bigrams)[2:])
-    known = asked.where(F.col("kind") == STATE).union(bigrams.where(F.col("kind") == TOTALS))
+    known = state.union(bigrams.where(F.col("kind") == FOLLOWERS))
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,7 +312,7 @@ def katz_scores(docs: DataFrame, learns: Callable[[int | None], bool], batch_byt
                 columns = dict(zip(("n_tokens", "n_known", "base_score", "score"), map(pa.array, values), strict=True))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64(), mask=null)} | columns)
 
-    scored = grouped(known, "batch", score_batch(uni, d)).mapInArrow(flat, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = grouped(known, "batch", score_batch(parts, uni, d)).mapInArrow(flat, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

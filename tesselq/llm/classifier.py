@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows_of, table, utf8
+from .common import crc_mod, fresh, rows_of, table, utf8
 
 FEATURES = (
     "log_words", "word_length", "long_words", "upper", "digits", "symbols", "exclaims", "pipes", "punctuation", "newlines", "other_bytes",
@@ -191,7 +191,8 @@ def learned(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Net | None:
 def reject(docs: DataFrame, net: Net | None, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score at least ``threshold``, all columns as they were."""
     names = docs.columns
-    return score(docs, net, tuple(names), "_score").where(F.col("_score") >= threshold).select(*names)
+    own = fresh("score", docs)
+    return score(docs, net, tuple(names), own).where(F.col(own) >= threshold).select(*names)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,14 @@ def forget(df: DataFrame, subfolder: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the column's decimal text, modulo n (null for null)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(n)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 24, 16, 4
@@ -96,9 +96,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item, all columns as they were; rows are told apart by doc_id and text."""
-    row = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    leaks = contaminated(row, benchmark, ("doc_id", "_row"), similarity).select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_leak")).distinct()
-    return row.join(leaks, F.col("_row").eqNullSafe(F.col("_leak")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").select(*docs.columns)
+    own, leak, doc = (fresh(n, docs) for n in ("row", "leak", "leak_doc"))
+    row = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    leaks = contaminated(row, benchmark, ("doc_id", own), similarity).select(F.col("doc_id").alias(doc), F.col(own).alias(leak)).distinct()
+    return row.join(leaks, F.col(own).eqNullSafe(F.col(leak)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti").select(*docs.columns)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

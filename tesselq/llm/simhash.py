@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of, table, utf8
+from .common import fresh, materialize, rows_of, table, utf8
 from .components import connected
 
 SEGMENT_BITS = 32
@@ -205,11 +205,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, bucket_limit: int = 16) -> DataF
     fps = materialize(fingerprints(docs, shingle), "simhash")
     found = materialize(components(fps, bucket_limit), "groups")
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    keep = materialize(keep.select(F.col("doc_id").alias("_keep"), "n_rows"), "keep")
-    once, more = keep.where("n_rows = 1").select("_keep"), keep.where("n_rows > 1").select("_keep")
-    kept = docs.join(once, F.col("doc_id") == F.col("_keep"), "left_semi")
+    own = fresh("keep", docs)
+    keep = materialize(keep.select(F.col("doc_id").alias(own), "n_rows"), "keep")
+    once, more = keep.where("n_rows = 1").select(own), keep.where("n_rows > 1").select(own)
+    kept = docs.join(once, F.col("doc_id") == F.col(own), "left_semi")
     if not more.isEmpty():
-        kept = kept.union(docs.join(more, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.union(docs.join(more, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"]))
     return kept.union(docs.where("doc_id is null"))
 
 

@@ -56,6 +56,15 @@ def forget(df: DataFrame, subfolder: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of keys (ids and hashes) that a join broadcasts at most.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """``keys``, a stored table of ids, to be joined with texts: broadcast up to ``BROADCAST_ROWS``, beyond by a shuffle without sort."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, with as many underscores as it takes to differ from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table
+from .common import bounded, fresh, materialize, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 24, 16, 4
@@ -99,6 +99,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     own, leak, doc = (fresh(n, docs) for n in ("row", "leak", "leak_doc"))
     row = docs.withColumn(own, F.xxhash64("doc_id", "text"))
     leaks = contaminated(row, benchmark, ("doc_id", own), similarity).select(F.col("doc_id").alias(doc), F.col(own).alias(leak)).distinct()
+    leaks = bounded(materialize(leaks, "leaks"))
     return row.join(leaks, F.col(own).eqNullSafe(F.col(leak)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti").select(*docs.columns)
 
 

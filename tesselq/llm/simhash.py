@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, rows_of, table, utf8
+from .common import bounded, fresh, materialize, rows_of, table, utf8
 from .components import connected
 
 SEGMENT_BITS = 32
@@ -201,17 +201,19 @@ def keep_one(docs: DataFrame, shingle: int = 3, bucket_limit: int = 16) -> DataF
     """``docs`` without near copies: of each group the row of smallest doc_id stays, all columns as they were.
 
     Where that doc_id is on several rows, one of them stays. Rows with a null doc_id stay, as nothing names them.
+    Rows that share a doc_id are dropped together.
     """
     fps = materialize(fingerprints(docs, shingle), "simhash")
     found = materialize(components(fps, bucket_limit), "groups")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    own = fresh("keep", docs)
-    keep = materialize(keep.select(F.col("doc_id").alias(own), "n_rows"), "keep")
-    once, more = keep.where("n_rows = 1").select(own), keep.where("n_rows > 1").select(own)
-    kept = docs.join(once, F.col("doc_id") == F.col(own), "left_semi")
-    if not more.isEmpty():
-        kept = kept.union(docs.join(more, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"]))
-    return kept.union(docs.where("doc_id is null"))
+    own = fresh("drop", docs)
+    drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct(), "drop")
+    kept = docs.join(bounded(drop), F.col("doc_id") == F.col(own), "left_anti")
+    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own)
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return kept
+    again, same = bounded(again), F.col("doc_id") == F.col(own)
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

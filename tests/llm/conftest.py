@@ -27,7 +27,7 @@ def clashing(odd):
     """Extra columns under names that operators use for their own."""
     from pyspark.sql import functions as F
 
-    names = ["fp", "key", "score", "_row", "_hashes", "_words", "spans", "kind", "batch", "n_words", "component_id", "row", "leak", "keep"]
+    names = ["fp", "key", "score", "_row", "_hashes", "_words", "spans", "kind", "batch", "n_words", "component_id", "row", "leak", "drop"]
     return odd.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
 

@@ -11,7 +11,7 @@ needs, with its own training counts, as one sorted array, and gets totals back i
 rows that move are arrays, their total is linear in the corpus, and what Spark sorts are batch and
 partition numbers. A frequent history (over a 512th of all tokens: so at most 512 of them, and the start
 of a text) is dealt over all partitions by the following word, and its sums are added up by each batch.
-Words are told apart by 64-bit hashes, those after one rarer history by 56 bits.
+Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -201,13 +201,11 @@ def ask_bigrams(parts: int, uni: Unigrams) -> Callable:
     def fn(batch: int, rows: list[tuple]) -> list[tuple]:
         b = Bigrams(rows, parts, uni)
         train = np.bincount(b.which[np.repeat(b.known, b.size)], minlength=len(b.word)).astype(np.uint32)
-        name = b.hashes[b.word]
-        # Words after one history that isn't frequent are few enough to tell apart by 56 bits.
-        name = np.where(b.hot[np.repeat(b.history, b.length)], name, name & np.uint64(0xFFFFFFFFFFFFFF00))
         out = []
         for p in range(parts):
             r, k = slice(b.run_cut[p], b.run_cut[p + 1]), slice(b.key_cut[p], b.key_cut[p + 1])
-            out.append((BIGRAMS, batch, p, pack(b.hashes[b.history[r]], b.length[r], name[k], train[k], b.total[b.word[k]].astype(np.uint64))))
+            words, at = np.unique(b.word[k], return_inverse=True)
+            out.append((BIGRAMS, batch, p, pack(b.hashes[b.history[r]], b.length[r], b.hashes[words], b.total[words], at.astype(np.uint32), train[k])))
         return out
 
     return fn
@@ -226,17 +224,19 @@ def sum_bigrams(uni: Unigrams) -> Callable:
         histories, run_at = np.unique(run_history, return_inverse=True)
         history = np.repeat(run_at, np.concatenate([a[1] for a in asked]))
         words, word = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
-        key, inverse = np.unique(history * len(words) + word, return_inverse=True)
-        c = np.bincount(inverse, weights=np.concatenate([a[3] for a in asked]), minlength=len(key)).astype(np.int64)
         of_word = np.zeros(len(words), np.int64)
-        of_word[word] = np.concatenate([a[4] for a in asked])
+        of_word[word] = np.concatenate([a[3] for a in asked])
+        word_cut = np.cumsum([0, *(len(a[2]) for a in asked)])
+        word = np.concatenate([word[x:y][a[4]] for a, x, y in zip(asked, word_cut, word_cut[1:], strict=False)])
+        key, inverse = np.unique(history * len(words) + word, return_inverse=True)
+        c = np.bincount(inverse, weights=np.concatenate([a[5] for a in asked]), minlength=len(key)).astype(np.int64)
         h, w = key // max(1, len(words)), key % max(1, len(words))
         n = len(histories)
         small = np.stack([np.bincount(h[c == r], minlength=n) for r in range(1, CUTOFF + 1)], 1).astype(np.uint32)
         total = np.bincount(h, weights=c, minlength=n).astype(np.int64)
         big = np.bincount(h, weights=np.where(c > CUTOFF, c, 0), minlength=n).astype(np.int64)
         mass = np.bincount(h[c > 0], weights=uni.p(of_word[w[c > 0]]), minlength=n)
-        key_cut = np.cumsum([0, *(len(a[2]) for a in asked)])
+        key_cut = np.cumsum([0, *(len(a[4]) for a in asked)])
         run_cut = np.cumsum([0, *(len(a[0]) for a in asked)])
         out = []
         for i, r in enumerate(rows):
@@ -283,7 +283,7 @@ def score_batch(parts: int, uni: Unigrams, d: np.ndarray) -> Callable:
     return fn
 
 
-def katz_scores(docs: DataFrame, learns: Callable[[int | None], bool], batch_bytes: int = 10_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, learns: Callable[[int | None], bool], batch_bytes: int = 6_000_000, part_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text).
 
     ``learns(doc_id)`` says which rows the model is fitted on; all are scored. Tokens are runs of anything but
@@ -294,7 +294,7 @@ def katz_scores(docs: DataFrame, learns: Callable[[int | None], bool], batch_byt
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 << math.ceil(math.log2(max(1, size / batch_bytes)))
+    parts = 1 << math.ceil(math.log2(max(1, size / part_bytes)))
     tokens = materialize(tokenise(docs, parts, batch_bytes, learns), "tokens", by="kind")
     unigrams = materialize(grouped(tokens.where(F.col("kind") == UNIGRAMS), "part", sum_unigrams), "unigrams")
     forget(tokens, f"kind={UNIGRAMS}")

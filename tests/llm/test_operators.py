@@ -127,7 +127,7 @@ def plain_katz(rows, learns):
 def test_katz(spark, batch_bytes):
     rows = list(enumerate(prose(120, vocabulary=150)))
     uni, prob, scores = plain_katz(rows, katz.learns)
-    found = {r["doc_id"]: r for r in katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), katz.learns, batch_bytes).collect()}
+    found = {r["doc_id"]: r for r in katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), katz.learns, batch_bytes, batch_bytes).collect()}
     n = sum(uni.values())
     for (k, t), s in zip(rows, scores, strict=True):
         ts = [*lower(t).split(), "\n>"]

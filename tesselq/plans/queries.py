@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, colour, distance
-from ..operators import graph, intervals, nearest, overlap, registration, search, statistics, windows
+from ..operators import cluster, graph, grids, intervals, nearest, overlap, registration, search, statistics, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -439,3 +439,99 @@ def top_k(spark, sf_dir):
     """A report: each customer's three largest orders."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r <= 3").select("o_custkey", "o_orderkey")
+
+
+# --- grids, memberships, curves at references ------------------------------------------------------
+
+
+@query(f"WITH {GRID}, u AS (SELECT x, y, sum(v) AS v FROM c GROUP BY ALL), a AS (SELECT x, y, sum(v) OVER (PARTITION BY y ORDER BY x) AS s FROM u) SELECT x, y, round(sum(s) OVER (PARTITION BY x ORDER BY y), 4) AS total FROM a")
+def integral_sums(spark, sf_dir):
+    """Quantities on the grid of line number by order."""
+    return grids.integral(quantity_cells(spark, sf_dir), "v", "total").select("x", "y", F.round("total", 4).alias("total"))
+
+
+def quantity_cells(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("x"), F.col("l_orderkey").alias("y")).agg(F.sum("l_quantity").alias("v"))
+
+
+@query(f"WITH {GRID}, u AS (SELECT x, y, sum(v) AS v FROM c GROUP BY ALL) SELECT CAST(floor(x / 3) AS BIGINT) AS bx, CAST(floor(y / 3) AS BIGINT) AS by, round(sum(v), 4) AS total, max(v) AS top, min(v) AS low, count(*) AS n FROM u GROUP BY 1, 2")
+def block_sums(spark, sf_dir):
+    return grids.block_sums(quantity_cells(spark, sf_dir), "v", 3).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT l_linenumber AS x1, l_orderkey AS y1, round(l_linenumber + l_discount * 100, 6) AS x2, round(l_orderkey + l_tax * 100, 6) AS y2 FROM lineitem WHERE l_discount * 100 <= 5 AND l_tax * 100 <= 5")
+def flow_matches(spark, sf_dir):
+    """Matches of the flow (100 discount, 100 tax) at (line number, order), where both are within 5."""
+    flow = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("x"), F.col("l_orderkey").alias("y"), (F.col("l_discount") * 100).alias("u"), (F.col("l_tax") * 100).alias("v"))
+    return grids.flow_to_matches(flow, distance.valid_flow(F.col("u"), F.col("v"), 5.0)).select("x1", "y1", r6("x2").alias("x2"), r6("y2").alias("y2"))
+
+
+@query("SELECT x + dx AS x, y + dy AS y, max(k) AS k FROM (SELECT p_size AS x, CAST(floor(p_retailprice / 10) AS BIGINT) AS y, p_partkey AS k FROM part), (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy) GROUP BY ALL")
+def splat_seeds(spark, sf_dir):
+    """Parts as seeds at (size, price / 10), each over 3 x 3 cells; the largest key wins."""
+    seeds = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"), F.col("p_partkey").alias("k")).withColumn("order", F.col("k"))
+    return grids.splat(seeds, 1, 1, ["k"], "order")
+
+
+@query("SELECT p_partkey, printf('%02d%02d.png', (p_size - 1) // 15, (p_size - 1) % 15) AS name, greatest(0, least(29, p_size - 10)) AS clamped, p_size < 30 AND p_retailprice < 1500 AS inside, bit_count(xor(p_partkey, CAST(p_size AS BIGINT))) AS hamming FROM part")
+def view_names(spark, sf_dir):
+    """Names of views, the part's size as their place, and scalar predicates."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", grids.view_name(F.col("p_size")).alias("name"), grids.clamp(F.col("p_size") - 10, 30).alias("clamped"), grids.inside(F.col("p_size"), F.col("p_retailprice"), 30, 1500).alias("inside"), distance.hamming(F.col("p_partkey"), F.col("p_size").cast("long")).cast("tinyint").alias("hamming"))
+
+
+@query(CENTRES + ", w AS (SELECT id, centre, exp(-dist / 4) AS w FROM d) SELECT id, centre, round(w / sum(w) OVER (PARTITION BY id), 6) AS m FROM w")
+def softmin_membership(spark, sf_dir):
+    """Share of each centre at a vector: exp(-d / sigma^2), sigma 2, normalised."""
+    v = vectors(spark, sf_dir)
+    c = centres(v).count()
+    found = nearest.nearest(v.select((-F.col("id") - 1).alias("id"), "v"), centres(v), c)
+    w = found.select((-F.col("id") - 1).alias("id"), F.col("other").cast("int").alias("centre"), F.exp(-F.col("dist") / 4).alias("w"))
+    return w.select("id", "centre", r6(F.col("w") / F.sum("w").over(Window.partitionBy("id"))).alias("m"))
+
+
+@query("""WITH c AS (SELECT n_chars AS score, count(*) FILTER (quality = 1) AS t, count(*) FILTER (quality <> 1) AS f FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL),
+r AS (SELECT score, sum(t) OVER w / (SELECT sum(t) FROM c) AS recall, sum(f) OVER w / (SELECT sum(f) FROM c) AS fall_out FROM c WINDOW w AS (ORDER BY score DESC)), q AS (SELECT unnest([0.01, 0.1, 0.25, 0.5, 0.75]) AS ref)
+SELECT CAST(ref AS DOUBLE) AS ref, round(coalesce(max(recall), 0), 9) AS recall FROM q LEFT JOIN r ON fall_out <= ref GROUP BY ref""")
+def roc_at_reference(spark, sf_dir):
+    """Recall reached at given shares of false positives."""
+    refs = [0.01, 0.1, 0.25, 0.5, 0.75]
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("n_chars", "quality")
+    best = statistics.roc(rows, "n_chars", "quality").agg(*(F.coalesce(F.max(F.when(F.col("fall_out") <= r, F.col("recall"))), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(refs)))
+    pairs = F.array(*(F.struct(F.lit(r).alias("ref"), F.round(f"r{i}", 9).alias("recall")) for i, r in enumerate(refs)))
+    return best.select(F.explode(pairs).alias("p")).select("p.ref", "p.recall")
+
+
+def nms_greedy(spark, sf_dir):
+    """Rows of boxes kept by greedy suppression; order-dependent, so without SQL."""
+    return overlap.suppress_greedy(line_boxes(spark, sf_dir).dropDuplicates(["img", "id"]), "img", 0.2)
+
+
+def eval_greedy(spark, sf_dir):
+    """Boxes of the first half of an order's lines matched to those of the second."""
+    b = line_boxes(spark, sf_dir).dropDuplicates(["img", "id"])
+    return overlap.evaluate(b.where("id <= 3"), b.where("id > 3"), "img", 0.1)
+
+
+def kmeans_clusters(spark, sf_dir):
+    found, _ = cluster.kmeans(vectors(spark, sf_dir).select("id", "v"), 8)
+    return found.select("id", F.col("centre").cast("int").alias("centre"), r6("dist").alias("dist"))
+
+
+def trade_edges(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    return lines.select(F.col("l_orderkey").alias("src"), (F.lit(1000000000) + F.col("l_suppkey")).cast("long").alias("dst"), F.col("l_extendedprice").alias("w"))
+
+
+def trade_spanning_forest(spark, sf_dir):
+    return graph.spanning_forest(trade_edges(spark, sf_dir))
+
+
+def trade_paths(spark, sf_dir):
+    """Cheapest ways from supplier 1, over lines of quantity 50 in either direction."""
+    e = trade_edges(spark, sf_dir)
+    return graph.shortest_paths(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), 1000000001).select("node", r6("dist").alias("dist"))
+
+
+for _fn in (nms_greedy, eval_greedy, kmeans_clusters, trade_spanning_forest, trade_paths):
+    QUERIES[_fn.__name__] = _fn

@@ -17,8 +17,8 @@ def integral(cells: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def block_sums(cells: DataFrame, value: str, size: int) -> DataFrame:
-    """bx, by, total, top, low, n of non-overlapping blocks of ``size`` x ``size`` cells."""
-    return cells.groupBy(F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by")).agg(F.sum(value).alias("total"), F.max(value).alias("top"), F.min(value).alias("low"), F.count("*").alias("n"))
+    """block_x, block_y, total, top, low, n of non-overlapping blocks of ``size`` x ``size`` cells."""
+    return cells.groupBy(F.floor(F.col("x") / size).alias("block_x"), F.floor(F.col("y") / size).alias("block_y")).agg(F.sum(value).alias("total"), F.max(value).alias("top"), F.min(value).alias("low"), F.count("*").alias("n"))
 
 
 def flow_to_matches(flow: DataFrame, valid: Column) -> DataFrame:

@@ -454,7 +454,7 @@ def quantity_cells(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("x"), F.col("l_orderkey").alias("y")).agg(F.sum("l_quantity").alias("v"))
 
 
-@query(f"WITH {GRID}, u AS (SELECT x, y, sum(v) AS v FROM c GROUP BY ALL) SELECT CAST(floor(x / 3) AS BIGINT) AS bx, CAST(floor(y / 3) AS BIGINT) AS by, round(sum(v), 4) AS total, max(v) AS top, min(v) AS low, count(*) AS n FROM u GROUP BY 1, 2")
+@query(f"WITH {GRID}, u AS (SELECT x, y, sum(v) AS v FROM c GROUP BY ALL) SELECT CAST(floor(x / 3) AS BIGINT) AS block_x, CAST(floor(y / 3) AS BIGINT) AS block_y, round(sum(v), 4) AS total, max(v) AS top, min(v) AS low, count(*) AS n FROM u GROUP BY 1, 2")
 def block_sums(spark, sf_dir):
     return grids.block_sums(quantity_cells(spark, sf_dir), "v", 3).withColumn("total", F.round("total", 4))
 

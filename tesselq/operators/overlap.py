@@ -61,7 +61,9 @@ def evaluate(detections: DataFrame, truth: DataFrame, key: str, threshold: float
     """
 
     def run(dt: pd.DataFrame, gt: pd.DataFrame) -> pd.DataFrame:
-        free = [(r.x, r.y, r.w, r.h) for r in gt.sort_values("id").itertuples()]
+        if not len(dt):  # a side without rows may come without columns
+            return pd.DataFrame([], columns=[key, "id", "score", "hit"])
+        free = [(r.x, r.y, r.w, r.h) for r in gt.sort_values("id").itertuples()] if len(gt) else []
         used = [False] * len(free)
         out = []
         for r in dt.sort_values(["score", "id"], ascending=[False, True]).itertuples():

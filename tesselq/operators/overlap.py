@@ -60,10 +60,9 @@ def evaluate(detections: DataFrame, truth: DataFrame, key: str, threshold: float
     Columns: key, id, score, hit (1 matched, 0 not).
     """
 
-    def run(dt: pd.DataFrame, gt: pd.DataFrame) -> pd.DataFrame:
-        if not len(dt):  # a side without rows may come without columns
-            return pd.DataFrame([], columns=[key, "id", "score", "hit"])
-        free = [(r.x, r.y, r.w, r.h) for r in gt.sort_values("id").itertuples()] if len(gt) else []
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        dt, gt = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        free = [(r.x, r.y, r.w, r.h) for r in gt.sort_values("id").itertuples()]
         used = [False] * len(free)
         out = []
         for r in dt.sort_values(["score", "id"], ascending=[False, True]).itertuples():
@@ -79,7 +78,9 @@ def evaluate(detections: DataFrame, truth: DataFrame, key: str, threshold: float
         return pd.DataFrame(out, columns=[key, "id", "score", "hit"])
 
     types = dict(detections.dtypes)
-    return detections.groupBy(key).cogroup(truth.groupBy(key)).applyInPandas(run, f"{key} {types[key]}, id {types['id']}, score double, hit int")
+    box_columns = [key, "id", "x", "y", "w", "h"]
+    both = detections.select(*box_columns, F.col("score").cast("double"), F.lit(0).alias("side")).unionByName(truth.select(*box_columns, F.lit(None).cast("double").alias("score"), F.lit(1).alias("side")))
+    return both.groupBy(key).applyInPandas(run, f"{key} {types[key]}, id {types['id']}, score double, hit int")
 
 
 def suppress_near(points: DataFrame, key: str, at: str, value: str, radius: float) -> DataFrame:

@@ -11,7 +11,7 @@ needs, with its own training counts, as one sorted array, and gets totals back i
 rows that move are arrays, their total is linear in the corpus, and what Spark sorts are batch and
 partition numbers. A frequent history (over a 512th of all tokens: so at most 512 of them, and the start
 of a text) is dealt over all partitions by the following word, and its sums are added up by each batch.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, and have short names once they are counted.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def tokenise(docs: DataFrame, parts: int, batch_bytes: int, learns: Callable[[in
             known = np.asarray([learns(k) for k in keys])
             train = np.bincount(token[np.repeat(known, size)], minlength=len(hashes)).astype(np.uint32)
             ids = np.asarray([0 if k is None else k for k in keys], np.int64)
-            state = pack(ids, np.asarray([k is None for k in keys]), known, size, token, hashes, np.asarray([rank[start]], np.int32))
+            state = pack(ids, np.asarray([k is None for k in keys]), known, size, token, np.asarray([rank[start]], np.int32))
             cut = np.searchsorted((hashes >> np.uint64(shift)) if shift < 64 else np.zeros(len(hashes), np.uint64), np.arange(parts + 1, dtype=np.uint64))
             yield batch_of([(STATE, base + number, -1, state)])
             for p in range(parts):
@@ -141,12 +141,12 @@ def tokenise(docs: DataFrame, parts: int, batch_bytes: int, learns: Callable[[in
 
 
 def sum_unigrams(part: int, rows: list[tuple]) -> list[tuple]:
-    """Totals for each batch in its own order, and the partition's counts of counts."""
+    """Totals and places in the partition's list of words, for each batch in its own order; and the partition's counts of counts."""
     asked = [unpack(r[3]) for r in rows]
     _, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked])).astype(np.int64)
     cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
-    out = [(TOTALS, r[1], part, pack(total[inverse[x:y]])) for r, x, y in zip(rows, cuts, cuts[1:], strict=False)]
+    out = [(TOTALS, r[1], part, pack(total[inverse[x:y]], inverse[x:y].astype(np.uint32))) for r, x, y in zip(rows, cuts, cuts[1:], strict=False)]
     small = np.bincount(total[total <= CUTOFF + 1], minlength=CUTOFF + 2)
     return [*out, (COUNTS, -1, part, pack(np.asarray([total.sum(), (total > 0).sum(), *small], np.int64)))]
 
@@ -174,14 +174,17 @@ class Bigrams:
     """
 
     def __init__(self, rows: list[tuple], parts: int, uni: Unigrams) -> None:
-        self.ids, self.null, self.known, self.size, token, self.hashes, start = unpack(rows[0][3])
-        self.total = np.concatenate([unpack(r[3])[0] for r in rows[1:]])
+        self.ids, self.null, self.known, self.size, token, start = unpack(rows[0][3])
+        got = [unpack(r[3]) for r in rows[1:]]
+        self.total = np.concatenate([g[0] for g in got])
+        place = np.repeat([r[2] for r in rows[1:]], [len(g[0]) for g in got])
+        # Short names: a word's partition, and its place there.
+        self.name = (place.astype(np.uint64) << np.uint64(40)) | np.concatenate([g[1] for g in got])
         self.first = np.cumsum(self.size) - self.size
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[self.first] = start[0]
-        u = self.words = len(self.hashes)
-        place = (self.hashes >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(u, np.int64)
+        u = self.words = len(self.total)
         self.hot = self.total * HOT_SHARE > uni.tokens
         self.hot[start[0]] = True
         part = np.where(self.hot[before], place[token], place[before])
@@ -205,7 +208,7 @@ def ask_bigrams(parts: int, uni: Unigrams) -> Callable:
         for p in range(parts):
             r, k = slice(b.run_cut[p], b.run_cut[p + 1]), slice(b.key_cut[p], b.key_cut[p + 1])
             words, at = np.unique(b.word[k], return_inverse=True)
-            out.append((BIGRAMS, batch, p, pack(b.hashes[b.history[r]], b.length[r], b.hashes[words], b.total[words], at.astype(np.uint32), train[k])))
+            out.append((BIGRAMS, batch, p, pack(b.name[b.history[r]], b.length[r], b.name[words], b.total[words], at.astype(np.uint32), train[k])))
         return out
 
     return fn

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, fresh, materialize, rows_of, table, utf8
 from .components import connected
+from .near_copies import groups
 
 SEGMENT_BITS = 32
 LANES = np.uint64(0x0101010101010101)
@@ -197,23 +198,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 16) -
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, bucket_limit: int = 16) -> DataFrame:
-    """``docs`` without near copies: of each group the row of smallest doc_id stays, all columns as they were.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each group of ``near_copies.groups`` the row of smallest doc_id stays, all columns as they were.
 
-    Where that doc_id is on several rows, one of them stays. Rows with a null doc_id stay, as nothing names them.
-    Rows that share a doc_id are dropped together.
+    The fingerprints of the query play no part here. Rows are told apart by doc_id and text; of rows equal in both
+    one stays. Rows with a null doc_id stay, as nothing names them.
     """
-    fps = materialize(fingerprints(docs, shingle), "simhash")
-    found = materialize(components(fps, bucket_limit), "groups")
+    row = F.xxhash64("doc_id", "text")
+    found = materialize(groups(docs.select(F.col("doc_id").cast("long"), row.alias("row"), "text"), shingle, similarity), "groups")
+    named = found.where("doc_id is not null")
+    kept_rows = materialize(named.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("n")).where("n > 1"), "keep")
     own = fresh("drop", docs)
-    drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct(), "drop")
-    kept = docs.join(bounded(drop), F.col("doc_id") == F.col(own), "left_anti")
-    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own)
-    again = materialize(again, "again")
+    drop = named.join(kept_rows, "comp").where("row <> keep.row").select(F.col("row").alias(own)).distinct()
+    drop = materialize(drop, "drop")
+    same = row == F.col(own)
+    kept = docs.join(bounded(drop), same & F.col("doc_id").isNotNull(), "left_anti")
+    again = named.groupBy(F.col("row").alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own)
+    again = materialize(again.join(drop, own, "left_anti"), "again")
     if again.isEmpty():
         return kept
-    again, same = bounded(again), F.col("doc_id") == F.col(own)
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    again = bounded(again)
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from tesselq.llm import chat, classifier, decontaminate, katz, language, licenses, packing, quality_rules, secrets, simhash
+from tesselq.llm import chat, classifier, decontaminate, katz, language, licenses, near_copies, packing, quality_rules, secrets, simhash
 from tesselq.llm.components import connected
 
 from .conftest import ODD, SCHEMA, prose
@@ -334,6 +334,41 @@ def test_keep_one(spark, clashing):
     assert simhash.keep_one(clashing).columns == clashing.columns
 
 
+def edited(text, share, rng):
+    """``text`` with that share of its words replaced, each by one of its own."""
+    words = text.split()
+    for i in rng.sample(range(len(words)), int(share * len(words))):
+        words[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_keep_one_against_all_pairs(spark, bucket, monkeypatch):
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    rng = random.Random(4)
+    rows = list(enumerate(" ".join(prose(3, 30 + i)) for i in range(40)))
+    for i in range(120):
+        text = rng.choice(rows)[1] if i < 60 else rows[0][1]
+        rows.append((1000 - i, edited(text, rng.choice((0.0, 0.005, 0.01, 0.02, 0.04, 0.1)), rng)))
+    rows += [(2000, "too short"), (2001, "Too  short"), (2002, "too short too")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            parent[find(a)] = find(b)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), k), k)
+    kept = ids(simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert kept == sorted(least.values()) and 40 < len(kept) < 120
+
+
 def test_connected(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + rng.randrange(60), 2000 + rng.randrange(60)) for _ in range(50)]

@@ -1,6 +1,7 @@
 """Secrets in texts: fixed patterns, and dictionary-primed zstandard novelty.
 
-Novelty: a candidate is a run of token characters that begins shortly after a sensitive word. Its
+Novelty: a candidate is any run of token characters that begins shortly after a sensitive word or the
+name that the word is part of; "=" ends a run, but for padding at a value's end. A candidate's
 marginal cost is what zstandard needs for the surrounding text with the candidate, less what it needs
 without, both primed with a dictionary of common code identifiers. Names and prose are cheap, as the
 dictionary or the surroundings hold their parts; a key is not. Candidates whose marginal bytes exceed
@@ -33,9 +34,10 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 12, 18, 16
 
 SENSITIVE = re.compile(rb"passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|credential|bearer|authorization|private[_ -]?key|access[_ -]?key|client[_ -]?key")
 SENSITIVE_PARTS = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"api", b"credential", b"bearer", b"authorization", b"key")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=~-]{16,}")
+CANDIDATE = re.compile(rb"([A-Za-z0-9+/_.~-]{16,})(?:={1,2}(?![A-Za-z0-9+/_.=~-]))?")
+TAIL = re.compile(rb"[A-Za-z0-9+/_.~-]*")
 MIXED = re.compile(rb"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")
-#: Bytes between the sensitive word and the candidate; bytes of surroundings on either side; share of incompressible bytes.
+#: Bytes between the sensitive word, or the name that it is part of, and the start of a candidate; bytes of surroundings on either side; share of incompressible bytes.
 REACH, AROUND, NOVELTY = 32, 256, 0.7
 IDENTIFIERS = """
 abstract access account action address admin alias allow amount api app application apply args argument array assert async
@@ -86,18 +88,20 @@ def spans_of(text: bytes, novelty: Novelty) -> list[tuple[int, int, int]]:
         known = sorted((a, b) for a, _, b in found)
         seen = set()
         for word in SENSITIVE.finditer(lower):
-            m = CANDIDATE.search(text, word.end())
-            if m is None or m.start() - word.end() > REACH or m.start() in seen:
-                continue
-            seen.add(m.start())
-            start = m.start()
-            while start < m.end() and text[start] == 61:  # "=" stands between word and value
-                start += 1
-            # A run that goes on from the word itself isn't its value; one case of letters is prose or a name.
-            if start == word.end() or m.end() - start < 16 or not MIXED.search(text, start, m.end()):
-                continue
-            if not any(a < m.end() and start < b for a, b in known) and novelty.share(text, start, m.end()) > NOVELTY:
-                found.append((start, 3, m.end()))
+            # A run that goes on from the word itself isn't its value but the rest of a name.
+            name = TAIL.match(text, word.end()).end()
+            for m in CANDIDATE.finditer(text, name):
+                start, end = m.span(1)
+                if start - name > REACH:
+                    break
+                if start in seen:
+                    continue
+                seen.add(start)
+                # One case of letters is prose or a name.
+                if not MIXED.search(text, start, end) or any(a < m.end() and start < b for a, b in known):
+                    continue
+                if novelty.share(text, start, end) > NOVELTY:
+                    found.append((start, 3, m.end()))
     found.sort()
     if found and not text.isascii():
         at = {0: 0}

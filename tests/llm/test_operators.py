@@ -66,6 +66,14 @@ def test_secrets(spark):
     assert found[3]["spans"].startswith("novel:22:") and found[4]["spans"] == ""
 
 
+@pytest.mark.parametrize("before", ["DB_PASSWORD_PROD=", "SECRET_KEY_BASE=", "password_of_the_database: ", "client_secret_of_the_production_database_server = ", "token for Internal2Service_A: "])
+def test_secrets_after_names(before):
+    value = "Zx8Kq2Lm9Rt4Vw7Yb1Nc6"
+    for end in ("", "=="):
+        text = f"set {before}{value}{end} and go"
+        assert (text.index(value), 3, text.index(" and go")) in secrets.spans_of(text.encode(), secrets.Novelty())
+
+
 def test_redaction_keeps_rows_and_columns(spark, clashing):
     docs = spark.createDataFrame([(1, "a token=abcdef123456 b", "en", "s", 22), (2, "clean", "en", "s", 5)], SCHEMA)
     assert [(r["text"], r["n_chars"]) for r in secrets.redact(docs).orderBy("doc_id").collect()] == [("a [secret] b", 12), ("clean", 5)]

@@ -1,7 +1,7 @@
 """Licences of texts: a positional index of rare words over licence notices.
 
 Each notice of ``TEMPLATES`` is words with positions. For a file, the licence words that it holds are
-ranked by inverse document frequency over the whole corpus; the rarest are looked up, and postings
+ranked by inverse document frequency over the whole corpus; the rarest of each notice are looked up, and postings
 (notice, position) that agree on one offset between file and notice vote for that placement. A
 placement is verified word by word, weighted by rarity, and by a mandatory key phrase that must stand
 inside it. Fixed phrases (``PHRASES``) are found in any case.
@@ -38,7 +38,7 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
 )
-#: File words looked up at most (rarest first), and the weighted share of a notice that must agree.
+#: Words of each notice looked up at most (rarest first), and the weighted share of a notice that must agree.
 RAREST, AGREE = 12, 0.75
 
 #: A-Z to a-z, other ASCII but letters and digits to a blank; bytes of other characters stay.
@@ -50,17 +50,14 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings of the notices' words, with idf over a corpus of ``n`` texts of which ``df[w]`` hold w."""
+    """The notices' words, with idf over a corpus of ``n`` texts of which ``df[w]`` hold w."""
 
     def __init__(self, n: int, df: dict[bytes, int]) -> None:
         self.notices = [(label, [w.encode() for w in words.split()], [p.encode() for p in phrases]) for label, words, phrases in TEMPLATES]
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-6 for _, words, _ in self.notices for w in words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.weight = []
-        for t, (_, words, _) in enumerate(self.notices):
+        for _, words, _ in self.notices:
             self.weight.append(sum(self.idf[w] for w in words))
-            for i, w in enumerate(words):
-                self.postings[w].append((t, i))
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Score by label, of the placements that hold."""
@@ -69,18 +66,21 @@ class Index:
         able = {t for t, (_, own, _) in enumerate(self.notices) if sum(self.idf[w] for w in own if w in present) >= AGREE * self.weight[t]}
         if not able:
             return {}
-        wanted = set().union(*(self.notices[t][1] for t in able))
-        rarest = set(sorted(present & wanted, key=lambda w: (-self.idf[w], w))[:RAREST])
+        # Each notice by its own rarest words, so that none has to share the look-ups with the others.
+        rarest = {t: set(sorted(present.intersection(self.notices[t][1]), key=lambda w: (-self.idf[w], w))[:RAREST]) for t in able}
+        looked: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, chosen in rarest.items():
+            for i, w in enumerate(self.notices[t][1]):
+                if w in chosen:
+                    looked[w].append((t, i))
         votes: Counter = Counter()
         for at, w in enumerate(words):
-            if w in rarest:
-                for t, i in self.postings[w]:
-                    if t in able:
-                        votes[t, at - i] += self.idf[w]
+            for t, i in looked.get(w, ()):
+                votes[t, at - i] += self.idf[w]
         found: dict[str, float] = {}
         for (t, at), vote in votes.items():
             label, own, phrases = self.notices[t]
-            if vote < AGREE * sum(self.idf[w] for w in own if w in rarest):
+            if vote < AGREE * sum(self.idf[w] for w in own if w in rarest[t]):
                 continue
             window = words[max(0, at) : at + len(own)]
             score = sum(self.idf[w] for i, w in enumerate(own) if 0 <= at + i < len(words) and words[at + i] == w) / self.weight[t]

@@ -100,6 +100,15 @@ def test_licenses(spark):
     assert all(found[k]["labels"] == "" for k in found if k >= 100)
 
 
+def test_licenses_of_several_notices(spark):
+    """Notices of unequal frequency in one file, the common one not by a fixed phrase."""
+    notice = lambda label, n=-1: [w for x, w, _ in licenses.TEMPLATES if x == label][n]
+    rows = [(i, f"{t} {notice('mit')}") for i, t in enumerate(prose(60))]
+    rows.append((100, " text between ".join([notice("bsd"), notice("mit"), notice("mpl-2"), notice("gpl-3")])))
+    found = {r["doc_id"]: r["labels"] for r in licenses.label_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == "bsd,gpl-3,mit,mpl-2" and all(found[i] == "mit" for i in range(60))
+
+
 # 3
 
 

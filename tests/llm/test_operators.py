@@ -256,7 +256,10 @@ def test_classifier_without_labels(spark, odd, empty, clashing):
 
 
 def plain_leaks(docs, items, similarity=0.8):
-    grams = lambda t: [tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(w) - 4)]
+    def grams(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))]
+
     out = {}
     for d, t in docs:
         g = grams(t)
@@ -270,8 +273,10 @@ def plain_leaks(docs, items, similarity=0.8):
     return out
 
 
-def test_contamination_against_all_windows(spark):
-    items = list(enumerate([*prose(12, 8), "too short", None, ""]))
+def leaking_rows():
+    """Documents with items inside: changed, with words put in, with halves swapped, twice, cut, and whole short texts."""
+    long = " ".join(prose(3, 99, vocabulary=5000)).split()[:116]
+    items = [*enumerate([*prose(12, 8), "too short", None, "", "Too, short"]), (50, " ".join(long)), (51, " ".join(prose(2, 98)))]
     rng, rows = random.Random(9), []
     for i, t in enumerate(prose(60, 10)):
         words = t.split()
@@ -281,12 +286,40 @@ def test_contamination_against_all_windows(spark):
                 leak[rng.randrange(len(leak))] = "changed"
             words[rng.randrange(len(words)) : 0] = leak
         rows.append((i, " ".join(words).title() if i % 2 else " ".join(words)))
-    rows += [(90, items[0][1]), (91, items[1][1] + " " + items[1][1]), (92, None), (93, ""), (94, " ".join(items[2][1].split()[3:]))]
+    rows += [(90, items[0][1]), (91, items[1][1] + " " + items[1][1]), (92, None), (93, ""), (94, " ".join(items[2][1].split()[3:])), (95, "TOO SHORT"), (96, "too short a text to be like it")]
+    before, after = (x.split() for x in prose(2, 97))
+    for k in range(9):
+        changed = list(long)
+        changed[3] = changed[112] = "changed"
+        rows.append((200 + k, " ".join([*before, *changed[:58], *(f"put{j}" for j in range(k)), *changed[58:], *after])))
+    for i, (_, text) in enumerate([items[-1], items[-2]]):
+        half = text.split()
+        rows.append((300 + i, " ".join([*before, *half[len(half) // 2 :], *half[: len(half) // 2], *after])))
+    return rows, items
+
+
+def test_contamination_against_all_windows(spark):
+    import duckdb
+
+    rows, items = leaking_rows()
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     out = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, bench).collect()}
-    assert out == pytest.approx(plain_leaks(rows, items)) and len(out) >= 8
+    want = plain_leaks(rows, items)
+    assert out == pytest.approx(want) and len(out) >= 20 and {d for d, _ in out} >= {95, 200, 204, 206, 208, 300, 301}
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
     assert kept == {k for k, _ in rows} - {d for d, _ in out}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas()), con.register("benchmark", bench.toPandas())
+    assert {r[:2]: r[2] for r in con.execute(decontaminate.OP8_SQL).fetchall()} == pytest.approx(want)
+
+
+def test_contamination_in_several_passes(spark, monkeypatch):
+    rows, items = leaking_rows()
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr(decontaminate, "BROADCAST_STARTS", 0)
+    rows, items = rows[::3], items[::2]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found.collect()} == pytest.approx(plain_leaks(rows, items))
 
 
 def test_contamination_odd_rows(spark, odd, clashing, empty):

@@ -74,6 +74,50 @@ def test_secrets_after_names(before):
         assert (text.index(value), 3, text.index(" and go")) in secrets.spans_of(text.encode(), secrets.Novelty())
 
 
+def test_secrets_in_long_texts_take_linear_time():
+    import time
+
+    novelty = secrets.Novelty()
+    for text in (b"token is fine and " * 20_000, b"secrettoken" * 40_000, b"token " + b" " * 400_000, b"api key: aB3" * 30_000, b"secret=abcdefABCDEF1234 token Zx8Kq2Lm9Rt4Vw7Yb1 " * 800):
+        began = time.perf_counter()
+        secrets.spans_of(text, novelty)
+        assert time.perf_counter() - began < 3
+
+
+def test_novelty_against_a_plain_compressor():
+    """Marginal bytes by another primed compressor: random values cost far more than names, and both agree which is which."""
+    import zlib as z
+
+    rng, novelty = random.Random(2), secrets.Novelty()
+
+    def plain(text, start, end):
+        def cost(data):
+            data = data.lower()
+            c = z.compressobj(9, z.DEFLATED, -15, zdict=secrets.IDENTIFIERS)
+            return len(c.compress(data) + c.flush())
+
+        around = text[:start] + text[end:]
+        return (cost(around + text[start:end]) - cost(around)) / (end - start)
+
+    for _ in range(60):
+        value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(rng.randint(24, 60)))
+        name = "".join(w.title() for w in rng.sample(["database", "connection", "transaction", "environment", "configuration", "credential"], 3)) + "2"
+        for x, is_novel in ((value, True), (name, False)):
+            text = f"the bearer {x} was used by the service".encode()
+            share = novelty.share(text, 11, 11 + len(x))
+            assert (share > secrets.NOVELTY) == is_novel and (plain(text, 11, 11 + len(x)) > secrets.NOVELTY) == is_novel
+            assert bool(secrets.spans_of(text, novelty)) == is_novel
+
+
+def test_identifiers_are_learnt_from_the_corpus(spark, empty):
+    texts = [f"the session token of QuuxFrobnicatorWibble2 {x}" for x in "abc"] + ["token zorgleblat once", "QuuxFrobnicatorElsewhere without any"]
+    learned = secrets.learn_identifiers(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {b"quux", b"frobnicator", b"wibble", b"session"} <= set(learned.split()) and b"zorgleblat" not in learned and b"elsewhere" not in learned
+    name = b"token QuuxFrobnicatorWibble2Quux"
+    assert secrets.Novelty(learned).share(name, 6, len(name)) < secrets.Novelty().share(name, 6, len(name))
+    assert secrets.learn_identifiers(empty) == b""
+
+
 def test_redaction_keeps_rows_and_columns(spark, clashing):
     docs = spark.createDataFrame([(1, "a token=abcdef123456 b", "en", "s", 22), (2, "clean", "en", "s", 5)], SCHEMA)
     assert [(r["text"], r["n_chars"]) for r in secrets.redact(docs).orderBy("doc_id").collect()] == [("a [secret] b", 12), ("clean", 5)]

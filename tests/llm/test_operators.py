@@ -153,6 +153,47 @@ def test_licenses_of_several_notices(spark):
     assert found[100] == "bsd,gpl-3,mit,mpl-2" and all(found[i] == "mit" for i in range(60))
 
 
+def test_random_mixes_of_notices_lose_nothing():
+    """Against a plain version that tries every place of every notice, under random document frequencies."""
+    rng = random.Random(5)
+    vocabulary = sorted({w.encode() for _, t, _ in licenses.TEMPLATES for w in t.split()})
+    filler = [w.encode() for w in " ".join(prose(4, 3)).split()]
+
+    def plain(index, words):
+        found = {}
+        for t, (label, own, _) in enumerate(index.notices):
+            best = max((index.verify(words, t, at) for at in range(-len(own), len(words))), default=0)
+            if best >= licenses.AGREE:
+                found[label] = max(best, found.get(label, 0))
+        return found
+
+    for round in range(400):
+        index = licenses.Index(1000, {w: rng.randrange(1000) for w in vocabulary})
+        words, put = [], set()
+        for t in rng.sample(range(len(licenses.TEMPLATES)), rng.randint(1, 4)):
+            words += rng.sample(filler, rng.randrange(8))
+            own = list(index.notices[t][1])
+            if rng.random() < 0.3:
+                own[rng.randrange(len(own))] = b"changed"
+            elif rng.random() < 0.3:
+                own[len(own) // 2 : len(own) // 2] = [b"put", b"in"]
+                if any(x in b" %b " % b" ".join(own) for x in index.notices[t][2]):
+                    put.add(t)
+            else:
+                put.add(t)
+            words += own
+        found = index.match(words)
+        assert {index.notices[t][0] for t in put if len(index.notices[t][1]) > 8} <= found.keys() | {x for x in licenses.phrase_places(words)[0]}
+        if round < 60:
+            assert found == pytest.approx(plain(index, words))
+
+
+def test_phrase_places_of_a_long_text():
+    words = b"the mit license cc by nc " .split() * 60_000
+    labels, places = licenses.phrase_places(words)
+    assert labels == {"mit", "cc-by-nc"} and len(places) == 120_000 and sorted(places)[:3] == [0, 3, 6]
+
+
 # 3
 
 

@@ -268,18 +268,58 @@ def test_chat_events():
 # 5
 
 
+TOY = {"▁": (0.1, 0.3), "a": (0.2, 0.1), "b": (0.1, 0.1), "ab": (0.3, 0.2), "▁a": (0.2, 0.2), "▁ab": (0.1, 0.1)}
+
+
+def segmentations(marked):
+    for cuts in itertools.product((0, 1), repeat=len(marked) - 1):
+        yield "".join(c + "|" * k for c, k in zip(marked, (*cuts, 0), strict=True)).split("|")
+
+
 def test_language_sums_all_segmentations():
-    table = {"▁": (0.1, 0.3), "a": (0.2, 0.1), "b": (0.1, 0.1), "ab": (0.3, 0.2), "▁a": (0.2, 0.2), "▁ab": (0.1, 0.1)}
-    model = language.Model(["x", "y"], [0.5, 0.5], table)
+    model = language.Model(["x", "y"], [0.5, 0.5], TOY)
     for word in ("ab", "aab", "abab", "ca"):
         total = np.zeros(2)
-        marked = "▁" + word
-        for cuts in itertools.product((0, 1), repeat=len(marked) - 1):
-            parts = "".join(c + "|" * k for c, k in zip(marked, (*cuts, 0), strict=True)).split("|")
-            total += np.prod([table.get(p, (language.FLOOR,) * 2 if len(p) == 1 else (0, 0)) for p in parts], axis=0)
+        for parts in segmentations("▁" + word):
+            total += np.prod([TOY.get(p, (language.FLOOR,) * 2 if len(p) == 1 else (0, 0)) for p in parts], axis=0)
         assert model.score([word])[0] == pytest.approx(np.log(total))
 
 
+@pytest.mark.parametrize("size", [45, 60, 150, 199, 500, 3000])
+def test_language_of_long_words(size, monkeypatch):
+    """Against exact fractions, in both forms of the forward pass."""
+    from fractions import Fraction
+
+    rng = random.Random(size)
+    model = language.Model(["x", "y"], [0.5, 0.5], TOY)
+    for word in ("c" * size, "".join(rng.choice("aab") for _ in range(size)), "".join(rng.choice("abc") for _ in range(size))):
+        marked, want = "▁" + word, []
+        for k in range(2):
+            p = {x: Fraction(v[k]) for x, v in TOY.items()}
+            forward = [Fraction(1)]
+            for end in range(1, min(size, 500) + 2):
+                pieces = [(n, p.get(marked[end - n : end], Fraction(language.FLOOR) if n == 1 else Fraction(0))) for n in (1, 2, 3) if n <= end]
+                forward.append(sum(forward[end - n] * x for n, x in pieces))
+            want.append(math.log(forward[-1].numerator) - math.log(forward[-1].denominator))
+        if size <= 500:
+            assert model.score([word])[0] == pytest.approx(want)
+        assert model._score([marked])[0] == pytest.approx(model._score_alone(marked))
+
+
+def test_training_counts_are_expected_ones():
+    pieces = list(TOY)
+    p = np.asarray([v[0] for v in TOY.values()])
+    words, n = ["▁ab", "▁aabc", "▁"], np.asarray([3.0, 2.0, 1.0])
+    want = np.zeros(len(pieces))
+    for word, times in zip(words, n, strict=True):
+        ways = [(math.prod(TOY[x][0] if x in TOY else language.FLOOR if len(x) == 1 else 0 for x in parts), parts) for parts in segmentations(word)]
+        for weight, parts in ways:
+            for x in parts:
+                if x in TOY:
+                    want[pieces.index(x)] += times * weight / sum(w for w, _ in ways)
+    assert language.expected_counts(language.Trie(pieces), p, words, n) == pytest.approx(want)
+
+
 def test_language_held_out(spark):
     a, b = prose(60, 1), [re.sub("[a-m]", lambda m: chr(ord(m[0]) + 13), t) for t in prose(60, 2)]
     rows = [(i, t, x) for i, (t, x) in enumerate([*((t, "one") for t in a), *((t, "two") for t in b)])]

@@ -356,6 +356,14 @@ def test_rule_order_changes_no_verdict(spark):
     assert a == b and any(a) and not all(a)
 
 
+def test_rules_are_ordered_by_rejection_per_cost(spark, monkeypatch, empty):
+    rules = {"dear": "n_words < 30", "cheap": "n_words < 25", "idle": "n_words < 0"}
+    monkeypatch.setattr(quality_rules, "seconds", lambda df, rule, runs=3: {rules["dear"]: 9.0, rules["cheap"]: 1.0}.get(rule, 0.0))
+    sample = spark.createDataFrame([(i, "w " * i) for i in range(40)], "doc_id long, text string")
+    assert quality_rules.order_rules(sample, rules) == ["cheap", "dear", "idle"]
+    assert quality_rules.order_rules(empty, rules) == list(rules)
+
+
 # 7
 
 

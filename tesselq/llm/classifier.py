@@ -3,7 +3,7 @@
 A small network is trained to minimise the non-negative unbiased risk: trusted positives stand for
 label 1; the negatives' risk is that of unlabelled web text less the positives' share of it, and is
 not let below zero (when a step would, the step is taken back instead). The share, the class prior, is
-estimated from the labelled rows where they hold both classes; otherwise from the two sets alone.
+estimated from the two sets alone; where labels hold both classes, the share of label 1 among them is its least value.
 
 It is fitted on the driver, on at most about ``train_texts`` positives and as many unlabelled texts,
 chosen by a hash of doc_id; features are taken from whole texts, in the tasks, and every text is scored.
@@ -93,13 +93,29 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
     Whatever a score's upper region holds of the positives, the unlabelled hold that share of their own
     positives too, so the least ratio of the two masses over all upper regions bounds the class prior; the
-    bound is tight where negatives are absent. Regions with under three tenths of the positives are too noisy.
+    bound is tight where negatives are absent. Regions with under nine tenths of the positives are too noisy, and
+    one standard error is added, as a least ratio is biased low.
     """
     net = fit(positive, unlabelled, prior=0.5, plain=True)
     p, u = np.sort(net.score(positive)), np.sort(net.score(unlabelled))
-    at = p[: max(1, int(0.7 * len(p)))]
+    at = p[: max(1, len(p) // 10)]
     in_p, in_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
-    return float(np.clip((in_u / in_p).min(), 0.05, 0.98))
+    return float(np.clip(((in_u + np.sqrt(in_u * (1 - in_u) / len(u))) / in_p).min(), 0.05, 0.98))
+
+
+def step_gradients(net: Net, zp: np.ndarray, zu: np.ndarray, prior: float, plain: bool = False) -> tuple[float, list[np.ndarray]]:
+    """Negatives' risk, and the gradients of a step: of the whole risk or, where that part is below zero, of taking it back.
+
+    Loss of an output s: 1 - s for a positive, s for a negative. ``plain``: unlabelled count as negatives.
+    """
+    sp, su = (1 / (1 + np.exp(-np.clip(net.forward(z)[1], -40, 40))) for z in (zp, zu))
+    slope_p, slope_u = sp * (1 - sp) / len(zp), su * (1 - su) / len(zu)
+    if plain:
+        negative, by_p, by_u = float(su.mean()), -slope_p, slope_u
+    else:
+        negative = float(su.mean() - prior * sp.mean())
+        by_p, by_u = (-2 * prior * slope_p, slope_u) if negative >= 0 else (prior * slope_p, -slope_u)
+    return negative, [a + b for a, b in zip(net.gradient(zp, by_p), net.gradient(zu, by_u), strict=True)]
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 8, steps: int = 300, rate: float = 0.02, decay: float = 1.5, plain: bool = False) -> Net:
@@ -115,18 +131,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     zp, zu = net.standard(positive), net.standard(unlabelled)
     first, second = ([np.zeros_like(w) for w in net.weights] for _ in range(2))
     for step in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(net.forward(z)[1], -40, 40))) for z in (zp, zu))
-        slope_p, slope_u = sp * (1 - sp) / len(zp), su * (1 - su) / len(zu)
-        if plain:
-            grads = [a + b for a, b in zip(net.gradient(zp, -slope_p), net.gradient(zu, slope_u), strict=True)]
-        else:
-            # Loss of an output s: 1 - s for a positive, s for a negative.
-            negative = su.mean() - prior * sp.mean()
-            by_p, by_u = -prior * slope_p, slope_u
-            if negative >= 0:
-                grads = [a + b for a, b in zip(net.gradient(zp, 2 * by_p), net.gradient(zu, by_u), strict=True)]
-            else:
-                grads = [-(a + b) for a, b in zip(net.gradient(zp, by_p), net.gradient(zu, by_u), strict=True)]
+        _, grads = step_gradients(net, zp, zu, prior, plain)
         for i, g in enumerate(grads):
             g = g + decay * net.weights[i]
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -161,8 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, train_texts: int = 6000) -> Net |
     positive, unlabelled = x[label == 1], x[label == -1] if free else x
     if not len(positive) or not len(unlabelled):
         return None
-    named = counts.get(0, 0) + counts[1]
-    prior = counts[1] / named if counts.get(0) else estimated_prior(positive, unlabelled)
+    prior = estimated_prior(positive, unlabelled)
+    if counts.get(0):
+        prior = max(prior, counts[1] / (counts[0] + counts[1]))
     return fit(positive, unlabelled, min(prior, 0.98))
 
 

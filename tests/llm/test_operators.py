@@ -379,6 +379,39 @@ def test_classifier_learns_from_positives_and_unlabelled(spark):
     assert classifier.reject(docs, net).schema == docs.schema
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_gradients_of_the_risk(prior):
+    """Against differences of the risk itself, on both sides of the negatives' zero."""
+    rng = np.random.default_rng(1)
+    zp, zu = rng.normal(0.5, 1, (30, 5)), rng.normal(-0.5, 1, (40, 5))
+    net = classifier.Net([rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3), np.asarray([0.8])], np.zeros(5), np.ones(5))
+
+    def risk():
+        sp, su = net.score(zp), net.score(zu)
+        negative = su.mean() - prior * sp.mean()
+        return negative, (prior * (1 - sp).mean() + negative if negative >= 0 else -negative)
+
+    negative, grads = classifier.step_gradients(net, zp, zu, prior)
+    assert negative == pytest.approx(risk()[0]) and (negative >= 0) == (prior == 0.3)
+    for w, g in zip(net.weights, grads, strict=True):
+        for at in np.ndindex(w.shape):
+            kept, sides = w[at], []
+            for step in (1e-6, -1e-6):
+                w[at] = kept + step
+                sides.append(risk()[1])
+            w[at] = kept
+            assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-6)
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.9):
+        good = lambda n: rng.normal(2, 1, (n, 4))
+        n = int(share * 3000)
+        unlabelled = np.concatenate((good(n), rng.normal(-2, 1, (3000 - n, 4))))
+        assert classifier.estimated_prior(good(2000), unlabelled) == pytest.approx(share, abs=0.06)
+
+
 def test_classifier_without_labels(spark, odd, empty, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert classifier.train(odd, none) is None and classifier.train(empty, none) is None

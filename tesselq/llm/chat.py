@@ -7,12 +7,13 @@ A log is rows (conv_id, seq, kind, message, role, text), folded in the order of
 * ``edit`` replaces a message's text; ``regenerate`` empties it and drops all messages after it;
 * ``delete`` drops a message.
 
-Rows are dealt out by conversation and sorted in the shuffle; each task then folds one conversation after
-another as a stream, so it holds the final text of one conversation, not a partition.
+Rows are dealt out by conversation and sorted in the shuffle; each task then folds one event after another,
+so it holds the messages of one conversation as they stand, not its events and not a partition.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each message. Control strings inside roles and
-texts are escaped: a ``\\`` is put after the ``<`` of ``<``, any number of ``\\``, ``|``; reading takes one out. The loss mask
-is the spans of the assistants' texts in the output.
+texts are escaped: a ``\\`` is put after the ``<`` of ``<``, any number of ``\\``, ``|``; reading takes one out. In roles
+``\\`` and line breaks are escaped before that, as ``\\\\`` and ``\\n``. The loss mask is the spans of the assistants' texts in
+the output.
 """
 
 from __future__ import annotations
@@ -41,25 +42,45 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(?=\\*\|)", "<", text)
 
 
-def fold(events: Iterable[tuple[str, str, str | None, str | None]]) -> list[tuple[str, str]]:
-    """(role, text) of the messages that stand after ``events`` (kind, message, role, text), in order."""
-    messages: dict[str, list] = {}  # [role, parts]
-    for kind, key, role, text in events:
+def escape_role(role: str) -> str:
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(text: str) -> str:
+    return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", unescape(text))
+
+
+class Conversation:
+    """The messages that stand after the events so far."""
+
+    def __init__(self) -> None:
+        self.messages: dict[str, list] = {}  # [role, parts]
+
+    def take(self, kind: str, key: str, role: str | None, text: str | None) -> None:
         if kind == "delete":
-            messages.pop(key, None)
-            continue
-        own = messages.setdefault(key, [role or "", []])
+            self.messages.pop(key, None)
+            return
+        own = self.messages.setdefault(key, [role or "", []])
         if kind == "open":
             own[0] = role or own[0]
         if kind == "regenerate":
-            keys = list(messages)
-            for later in keys[keys.index(key) + 1 :]:
-                del messages[later]
+            while next(reversed(self.messages)) != key:
+                self.messages.popitem()
         if kind in ("edit", "regenerate"):
             own[1].clear()
         if text:
             own[1].append(text)
-    return [(role, "".join(parts)) for role, parts in messages.values()]
+
+    def final(self) -> list[tuple[str, str]]:
+        return [(role, "".join(parts)) for role, parts in self.messages.values()]
+
+
+def fold(events: Iterable[tuple[str, str, str | None, str | None]]) -> list[tuple[str, str]]:
+    """(role, text) of the messages that stand after ``events`` (kind, message, role, text), in order."""
+    conversation = Conversation()
+    for event in events:
+        conversation.take(*event)
+    return conversation.final()
 
 
 def render(messages: list[tuple[str, str]]) -> tuple[str, list[int], list[int]]:
@@ -69,7 +90,7 @@ def render(messages: list[tuple[str, str]]) -> tuple[str, list[int], list[int]]:
     ends: list[int] = []
     at = 0
     for role, text in messages:
-        head, body = f"{START}{escape(role)}\n", escape(text)
+        head, body = f"{START}{escape_role(role)}\n", escape(text)
         out += (head, body, END, "\n")
         if role == TRAINED:
             starts.append(at + len(head))
@@ -82,12 +103,12 @@ TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n"
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) that ``render`` was given; raises ValueError on anything else. Roles hold no line break."""
+    """The (role, text) that ``render`` was given; raises ValueError on anything else."""
     out, at = [], 0
     for m in TURN.finditer(formatted):
         if m.start() != at:
             break
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((unescape_role(m[1]), unescape(m[2])))
         at = m.end()
     if at != len(formatted):
         raise ValueError(f"not a formatted conversation from character {at} on")
@@ -99,28 +120,27 @@ def format_chats(events: DataFrame) -> DataFrame:
 
     Rows of equal seq are folded by kind (open, edit, regenerate, delta, delete), message, role and text, repeated rows as
     often as they occur; null seq comes first. Null texts count as empty, null roles as unnamed, null messages as
-    one message, a null kind as ``delta``; line breaks in roles become blanks. Rows with a null conv_id are one
+    one message, a null kind as ``delta``. Rows with a null conv_id are one
     conversation. Other columns are ignored; an empty log gives no rows. A conversation without messages is empty.
     """
     rank = F.expr("coalesce(array_position(array('open', 'edit', 'regenerate', 'delta', 'delete'), kind), 4)")
     log = events.select(
         F.col("conv_id").cast("long"), F.col("seq").cast("long"), F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce(F.col("message").cast("string"), F.lit("")).alias("message"),
-        F.translate("role", "\r\n", "  ").alias("role"), "text",
+        "role", "text",
     ).withColumn("_rank", rank)
     ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "_rank", "message", "role", "text").drop("_rank", "seq")
 
     def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
         now, own = None, None
-
         for batch in batches:
             for conv, *event in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "kind", "message", "role", "text")), strict=True):
                 if own is None or conv != now:
                     if own is not None:
-                        yield now, fold(own)
-                    now, own = conv, []
-                own.append(tuple(event))
+                        yield now, own.final()
+                    now, own = conv, Conversation()
+                own.take(*event)
         if own is not None:
-            yield now, fold(own)
+            yield now, own.final()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -165,15 +185,28 @@ def digest(chats: DataFrame) -> DataFrame:
     return chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+#: Characters of a message's first draft in the log of ``turns_as_events``.
+DRAFT = 16
+
+
 def turns_as_events(turns: DataFrame) -> DataFrame:
-    """A log that writes each row of ``turns`` (conv_id, turn, role, text) as one message, opened and filled by a delta.
+    """A log that writes each row of ``turns`` (conv_id, turn, role, text) as one message.
 
-    Messages stand in the order of turn, role and text; rows equal in all of them are as many messages.
+    It is opened and a draft is streamed; a trained message is then regenerated, another edited, and its text comes in two
+    parts. Messages stand in the order of turn, role and text; rows equal in all of them are as many messages.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("seq"))
-    kinds = F.array(F.struct(F.lit("open").alias("kind"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("delta").alias("kind"), F.col("text").alias("text")))
-    return rows.select("conv_id", "seq", F.explode(kinds).alias("e"), F.col("seq").cast("string").alias("message"), "role").select("conv_id", "seq", "e.kind", "message", "role", "e.text")
+    rows = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("n"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    trained = F.coalesce(F.col("role") == TRAINED, F.lit(False))
+    event = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
+    events = F.array(
+        event(F.lit("open"), F.lit(None).cast("string")), event(F.lit("delta"), F.substring("text", 1, DRAFT)),
+        event(F.when(trained, "regenerate").otherwise("edit"), F.when(~trained, first)), event(F.lit("delta"), F.when(trained, first)), event(F.lit("delta"), rest),
+    )
+    spread = rows.select("conv_id", "n", "role", F.posexplode(events).alias("k", "e")).where("k <> 3 OR e.text IS NOT NULL")
+    return spread.select("conv_id", (F.col("n") * 8 + F.col("k")).alias("seq"), "e.kind", F.col("n").cast("string").alias("message"), "role", "e.text")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

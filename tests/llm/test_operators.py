@@ -257,6 +257,22 @@ def test_chat_round_trip(spark):
     assert (out[1]["n_turns"], out[1]["loss_chars"], out[None]["n_turns"], out[2]["n_turns"]) == (4, 2, 1, 1)
 
 
+def test_chat_roles_with_control_strings_and_line_breaks(spark):
+    for role in ("a\nb", "\\n", "\\", "a\\\nb", "<|im_start|>", "<\\|x\n", "\r\n", ""):
+        text, _, _ = chat.render([(role, "x"), ("assistant", role)])
+        assert chat.parse(text) == [(role, "x"), ("assistant", role)]
+    log = spark.createDataFrame([(1, 1, "open", "a", "user\nx", None), (1, 2, "delta", "a", None, "t")], "conv_id long, seq long, kind string, message string, role string, text string")
+    got = chat.digest(chat.format_chats(log)).first()
+    assert got["turns_sha256"] == hashlib.sha256(b"user\nx\nt\n").hexdigest()
+
+
+def test_chat_of_an_empty_log_and_clashing_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi", 5), (1, 1, "assistant", "ho", 6)], "conv_id long, turn long, role string, text string, n long")
+    clashing = turns.selectExpr("*", "n AS k", "n AS e", "n AS seq", "n AS kind", "n AS message", "n AS _rank")
+    assert chat.digest(chat.format_chats(chat.turns_as_events(clashing))).first()["n_turns"] == 2
+    assert chat.digest(chat.format_chats(chat.turns_as_events(turns.limit(0)))).count() == 0
+
+
 def test_chat_events():
     fold = chat.fold([
         ("open", "a", "user", None), ("delta", "a", None, "he"), ("delta", "a", None, "y"), ("open", "b", "assistant", None), ("delta", "b", None, "bad"),

@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import dropped, stored
+
+
+def _stars(e: DataFrame) -> DataFrame:
+    """One round over edges (a, b) with a > b: every node hands the least of its neighbourhood to its larger neighbours, then to its smaller ones."""
+    both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) over undirected edges (src, dst): labels and labels of labels are pulled until none changes."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    both = stored(both, "edges")
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
-    labels = stored(labels, "labels")
-    while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_near"))
-        pulled = labels.join(near, "node").withColumn("_next", F.least("component", "_near"))
-        jump = labels.select(F.col("node").alias("_next"), F.col("component").alias("_jump"))
-        now = stored(pulled.join(jump, "_next", "left").select("node", F.least("_next", F.coalesce("_jump", "_next")).alias("component"), (F.least("_next", F.coalesce("_jump", "_next")) < F.col("component")).alias("_changed")), "labels")
-        changed = not now.where("_changed").isEmpty()
-        labels = now.drop("_changed")
-        if not changed:
-            return labels
+    """node, component (smallest node reachable) over undirected edges (src, dst), by alternating stars.
+
+    A round is aggregations and joins on node; no component is gathered, and the files of a round go when the next is written.
+    Loops name a node that is alone; rows with a null end are left out.
+    """
+    ends = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null")
+    nodes = stored(ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct(), "nodes")
+    now = stored(ends.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "stars")
+    state = before = None
+    while state is None or state != before:
+        before = state
+        after = stored(_stars(now), "stars")
+        state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        dropped(now)
+        now = after
+    return nodes.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def shortest_paths(edges: DataFrame, source: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def bin_of(value: Column, edges: list[float]) -> Column:
     """1-based bin with edges[k] <= value < edges[k + 1]; the last bin is closed; 0 outside and for null."""
@@ -55,7 +57,8 @@ def roc(df: DataFrame, score: str, truth: str) -> DataFrame:
     task sorts all rows.
     """
     counts = df.where(F.col(truth).isNotNull()).groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("t"), F.count_if(F.col(truth) != 1).alias("f"))
-    ranged = counts.repartitionByRange(F.col(score).desc()).withColumn("_p", F.spark_partition_id())
+    # Stored, so that both uses below see the same ranges.
+    ranged = stored(counts.repartitionByRange(F.col(score).desc()).withColumn("_p", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range only
     offsets = ranged.groupBy("_p").agg(F.sum("t").alias("_t"), F.sum("f").alias("_f"))
     offsets = offsets.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t"), F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_f"))

@@ -5,18 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet under spark.checkpoint.dir (a temporary folder where it is unset) and read back, which cuts its lineage."""
-    context = df.sparkSession.sparkContext
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. A local session without one, as in tests, gets a temporary folder; a cluster without one is an error."""
+    context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tesselq-")
-        context._conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if root:
+        return root
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _LOCAL.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="tesselq-"))
+
+
+def _path(df: DataFrame, path: str):
+    context = df.sparkSession.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return where, where.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, which cuts its lineage. The files go with the driver's JVM."""
+    path = f"{scratch_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where, system = _path(df, path)
+    system.deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a table that ``stored`` gave; nothing may read it again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where, system = _path(df, folder)
+        system.delete(where, True)

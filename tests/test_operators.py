@@ -1,5 +1,7 @@
 """Operators on small fixtures with known results."""
 
+import random
+
 import pytest
 
 from tesselq.functions import boxes, colour, distance
@@ -26,7 +28,62 @@ def test_suppression(spark):
     for run in (overlap.suppress, overlap.suppress_greedy):
         assert sorted(r["id"] for r in run(b, "img", 0.5).collect()) == [2, 3]
     hits = overlap.evaluate(b, b.where("id <> 1"), "img").collect()
-    assert {r["id"]: r["hit"] for r in hits} == {1: 0, 2: 1, 3: 1}
+    assert {r["id"]: r["match"] for r in hits if not r["is_truth"]} == {1: 0, 2: 1, 3: 1}
+
+
+def random_boxes(n, images=4):
+    rng = random.Random(n)
+    return [(rng.randrange(images), i, *(float(rng.randrange(12)) for _ in range(2)), *(float(rng.randrange(0, 9)) for _ in range(2)), float(rng.randrange(6))) for i in range(n)]
+
+
+def share(a, b, own=False):
+    common = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])) * max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
+    of = a[4] * a[5] if own else a[4] * a[5] + b[4] * b[5] - common
+    return common / of if common else 0.0
+
+
+SCHEMA = "img long, id long, x double, y double, w double, h double, score double"
+
+
+def test_greedy_suppressions_against_plain_loops(spark):
+    rows = random_boxes(90)
+    kept, covered = set(), {}
+    for img in range(4):
+        for r in sorted((r for r in rows if r[0] == img), key=lambda r: (-r[6], r[1])):
+            if all(share(r, k) <= 0.3 for k in rows if k[1] in kept and k[0] == img):
+                kept.add(r[1])
+        free = [r for r in rows if r[0] == img]
+        while free:
+            around = lambda r: [o for o in free if o is r or share(r, o) > 0.3]
+            best = max(free, key=lambda r: (sum(o[6] for o in around(r)), -r[1]))
+            covered[best[1]] = sum(o[6] for o in around(best))
+            gone = {o[1] for o in around(best)}
+            free = [o for o in free if o[1] not in gone]
+    b = spark.createDataFrame(rows, SCHEMA)
+    assert {r["id"] for r in overlap.suppress_greedy(b, "img", 0.3).collect()} == kept
+    assert {r["id"]: r["score"] for r in overlap.suppress_cover(b, "img", 0.3).collect()} == covered
+    assert overlap.suppress_greedy(b.limit(0), "img", 0.3).count() == 0
+
+
+@pytest.mark.parametrize("mul", [False, True])
+def test_evaluation_against_a_plain_loop(spark, mul):
+    dt, gt = random_boxes(80), [(*r[:6], r[1] % 3 == 0) for r in random_boxes(61)]
+    want, taken = {(1, g[1]): -1 if g[6] else 0 for g in gt}, set()
+    for d in sorted(dt, key=lambda r: (-r[6], r[1])):
+        own = [g for g in gt if g[0] == d[0]]
+        free = [(share(d, g), -g[1]) for g in own if not g[6] and (mul or g[1] not in taken)]
+        best = max(free, default=(0, 0))
+        want[0, d[1]] = 0
+        if best[0] >= 0.3:
+            want[0, d[1]] = want[1, -best[1]] = 1
+            taken.add(-best[1])
+        elif any(share(d, g, own=True) >= 0.3 for g in own if g[6]):
+            want[0, d[1]] = -1
+    truth = spark.createDataFrame([(*g[:6], int(g[6])) for g in gt], "img long, id long, x double, y double, w double, h double, ignore int")
+    found = overlap.evaluate(spark.createDataFrame(dt, SCHEMA), truth, "img", 0.3, mul)
+    assert {(r["is_truth"], r["id"]): r["match"] for r in found.collect()} == want and {-1, 0, 1} <= set(want.values())
+    last = overlap.evaluation_roc(found).orderBy("score").first()
+    assert (last["tp"], last["fp"]) == tuple(sum(v == k for (t, _), v in want.items() if not t) for k in (1, 0))
 
 
 def test_greedy_suppression_differs_on_chains(spark):

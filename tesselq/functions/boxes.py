@@ -62,3 +62,14 @@ def iou(a: Box, b: Box, ignore: Column | None = None) -> Column:
     if ignore is not None:
         of = F.when(ignore, area(a)).otherwise(of)
     return F.when(of > 0, common / of).otherwise(0.0)
+
+
+def extent(b: Box, degrees: Column, ellipse: bool = False) -> Box:
+    """The upright box around ``b`` turned about its centre, or around the ellipse inside it."""
+    x, y = centre(b)
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    if ellipse:
+        w, h = F.hypot(b[2] * c, b[3] * s), F.hypot(b[2] * s, b[3] * c)
+    else:
+        w, h = F.abs(b[2] * c) + F.abs(b[3] * s), F.abs(b[2] * s) + F.abs(b[3] * c)
+    return x - w / 2, y - h / 2, w, h

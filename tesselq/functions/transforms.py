@@ -44,3 +44,11 @@ def linear_index(y: Column, x: Column, height: int) -> Column:
 
 def from_linear_index(i: Column, height: int) -> tuple[Column, Column]:
     return (i - 1) % height + 1, F.floor((i - 1) / height) + 1
+
+
+def rotation_matrix(axis_angle: list[float]) -> list[list[float]]:
+    """Rotation about the axis of the vector by its length in radians."""
+    angle = math.sqrt(sum(v * v for v in axis_angle))
+    x, y, z = (v / angle for v in axis_angle) if angle else (0.0, 0.0, 0.0)
+    half = math.sin(angle / 2)
+    return quaternion_matrix((x * half, y * half, z * half, math.cos(angle / 2)))

@@ -60,3 +60,10 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42
     """n rows without replacement, chosen in proportion to ``weight`` (> 0): the least of -ln(u) / weight, with u from a hash of ``key``."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     return df.where(F.col(weight) > 0).withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k", key).limit(n).drop("_k")
+
+
+def dense_labels(df: DataFrame, label: str, out: str) -> DataFrame:
+    """``out``: labels numbered from 0 in their order, without gaps; there are as many rows to number as labels, not as cells."""
+    distinct = df.select(label).where(F.col(label).isNotNull()).distinct()
+    numbered = distinct.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long").alias(out))
+    return df.join(numbered, label)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
+#: Reference vectors in one broadcast, and queries whose distances to them are held at once.
+BLOCK_ROWS, TILE_ROWS = 20_000, 128
 
 
 def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
@@ -31,6 +32,13 @@ def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _least(row: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least finite numbers; of equals the first, and first ones first."""
+    bound = np.partition(row, k - 1)[k - 1] if k < len(row) else np.inf
+    at = np.flatnonzero((row <= bound) & np.isfinite(row))
+    return at[np.argsort(row[at], kind="stable")][:k]
+
+
 def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "sqeuclidean", payload: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest rows of ``reference`` (id, v array, payload) for each row of ``queries`` (id, v), ids differing.
 
@@ -53,17 +61,18 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, metric: str = "sqe
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, vectors, extra = shared.value
             for batch in batches:
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                d = _distances(np.asarray(batch.column("v").to_pylist(), float), vectors, metric) if batch.num_rows else np.zeros((0, len(ids)))
-                d[own[:, None] == ids[None, :]] = np.inf
-                # The ids ascend, so a stable sort breaks ties by id.
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(d, best, 1)
-                ok = np.isfinite(dist)
-                columns = {"id": pa.array(np.repeat(own, best.shape[1]).reshape(best.shape)[ok]), "other": pa.array(ids[best][ok]), "dist": pa.array(dist[ok])}
-                if payload:
-                    columns[payload] = pa.array([extra[i] for i in best[ok]], pa.int32() if kind == "int" else None)
-                yield pa.RecordBatch.from_pydict(columns)
+                for at in range(0, batch.num_rows, TILE_ROWS):
+                    tile = batch.slice(at, TILE_ROWS)
+                    own = tile.column("id").to_numpy(zero_copy_only=False)
+                    d = _distances(np.asarray(tile.column("v").to_pylist(), float), vectors, metric)
+                    d[own[:, None] == ids[None, :]] = np.inf
+                    best = [_least(row, k) for row in d]
+                    rows = np.repeat(np.arange(len(own)), [len(x) for x in best])
+                    best = np.concatenate(best)
+                    columns = {"id": pa.array(own[rows]), "other": pa.array(ids[best]), "dist": pa.array(d[rows, best])}
+                    if payload:
+                        columns[payload] = pa.array([extra[i] for i in best], pa.int32() if kind == "int" else None)
+                    yield pa.RecordBatch.from_pydict(columns)
 
         part = queries.where("v is not null").select("id", "v").mapInArrow(run, schema)
         found = part if found is None else found.union(part)

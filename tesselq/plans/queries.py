@@ -550,3 +550,8 @@ def trade_paths(spark, sf_dir):
 
 for _fn in (nms_greedy, nms_cover, eval_res, eval_roc, kmeans_clusters, trade_spanning_forest):
     QUERIES[_fn.__name__] = _fn
+
+# Registers its own queries; at the end, as it uses what stands above.
+from . import raster_queries  # noqa: E402
+
+QUERIES["approximate_counts"] = raster_queries.approximate_counts

@@ -261,7 +261,7 @@ TREES = [
 ]
 
 
-@query("SELECT l_returnflag, count(*) AS n, round(sum(CASE WHEN l_quantity < 25 THEN CASE WHEN l_discount < 0.05 THEN 0.6 ELSE -0.2 END ELSE 0.1 END + CASE WHEN l_tax < 0.04 THEN -0.5 WHEN l_quantity < 40 THEN 0.3 ELSE 0.9 END), 4) AS score FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, count(*) AS n, round(sum(CASE WHEN l_quantity < 25 THEN CASE WHEN l_discount < 0.05 THEN 0.6 ELSE -0.2 END ELSE 0.1 END + CASE WHEN l_tax < 0.04 THEN -0.5 WHEN l_quantity < 40 THEN 0.3 ELSE 0.9 END)::DOUBLE, 4) AS score FROM lineitem GROUP BY ALL")
 def boosted_scores(spark, sf_dir):
     """Sums of two boosted trees by return flag."""
     s = learning.boosted(TREES, {"q": F.col("l_quantity"), "d": F.col("l_discount"), "t": F.col("l_tax")})

@@ -79,3 +79,32 @@ def flow_bytes(flow: DataFrame, keys: list[str]) -> DataFrame:
 
     types = dict(flow.dtypes)
     return flow.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", content binary")
+
+
+def write_boxes(boxes: DataFrame, path: str) -> None:
+    """Annotation lines that ``read_boxes`` reads, in one folder of text files a key ``img``; geometry is rounded to whole numbers."""
+    whole = [F.bround(F.coalesce(F.col(c), F.lit(0.0)), 0).cast("long").cast("string") for c in ("x", "y", "w", "h", "occluded", "bx", "by", "bw", "bh", "ignore", "angle")]
+    boxes.select("img", F.concat_ws(" ", "label", *whole).alias("value")).write.partitionBy("img").text(path)
+
+
+def files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """file, name (without folder and suffix) and length of the files under ``path`` whose names end in ``suffix``, at any depth."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
+    base = F.element_at(F.split("file", "/"), -1)
+    return found.where(base.endswith(suffix)).select("file", F.expr(f"left(element_at(split(file, '/'), -1), length(element_at(split(file, '/'), -1)) - {len(suffix)})").alias("name"), "length")
+
+
+def paired_files(spark: SparkSession, left: str, right: str, suffixes: tuple[str, str] = ("", "")) -> DataFrame:
+    """name, a, b: files of two folders that have one name; a name that only one has is null on the other side."""
+    a = files(spark, left, suffixes[0]).select("name", F.col("file").alias("a"))
+    return a.join(files(spark, right, suffixes[1]).select("name", F.col("file").alias("b")), "name", "full")
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """file, row (from 0, in the file's order) and values of text files of blank- or comma-separated numbers; a part that is no number is null.
+
+    A file is read by one task, as its lines are numbered.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\\r?\\n").alias("lines"))
+    rows = whole.select("file", F.posexplode(F.filter("lines", lambda x: F.trim(x) != "")).alias("row", "line"))
+    return rows.select("file", "row", F.transform(F.split(F.trim("line"), r"[\s,]+"), lambda p: p.try_cast("double")).alias("values"))

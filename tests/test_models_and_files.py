@@ -108,3 +108,33 @@ def test_trees_and_null_features(spark):
     tree = {"feature": "a", "below": 1, "left": {"value": 2}, "right": {"value": 3}}
     df = spark.createDataFrame([(0.0,), (1.0,), (None,)], "a double")
     assert [r[0] for r in df.select(learning.boosted([tree, tree], {"a": F.col("a")})).collect()] == [4.0, 6.0, 6.0]
+
+
+def test_timeline_edits(spark):
+    from tesselq.operators import annotations
+
+    t = spark.createDataFrame([(1, 0, 4, "a"), (1, 5, 9, "b"), (1, 10, 14, "c"), (2, 0, 3, "a")], "k long, first int, last int, label string")
+    spans = lambda df, k=1: sorted((r["first"], r["last"], r["label"]) for r in df.where(f"k = {k}").collect())
+    assert spans(annotations.insert_interval(t, ["k"], "first", "last", "label", 3, 6, "n")) == [(0, 2, "a"), (3, 6, "n"), (7, 9, "b"), (10, 14, "c")]
+    assert spans(annotations.insert_interval(t, ["k"], "first", "last", "label", 6, 7, "n")) == [(0, 4, "a"), (5, 5, "b"), (6, 7, "n"), (8, 9, "b"), (10, 14, "c")]
+    assert spans(annotations.move_border(t, ["k"], "first", "last", 5, 8)) == [(0, 7, "a"), (8, 9, "b"), (10, 14, "c")]
+    assert spans(annotations.move_border(t, ["k"], "first", "last", 5, -9)) == [(0, 0, "a"), (1, 9, "b"), (10, 14, "c")]
+    assert spans(annotations.move_border(t, ["k"], "first", "last", 5, 99)) == [(0, 8, "a"), (9, 9, "b"), (10, 14, "c")]
+    assert spans(annotations.relabel(t, "label", {"a": "z"}), 2) == [(0, 3, "z")]
+    assert spans(annotations.merge_timelines([t, t.where("k = 2"), t], ["k"], "first", "last"), 2) == [(0, 3, "a"), (4, 7, "a"), (8, 11, "a")]
+
+
+def test_box_files_listing_and_matrices(spark, tmp_path):
+    from tesselq.sources import text_tables
+
+    names = ("x", "y", "w", "h", "occluded", "bx", "by", "bw", "bh", "ignore", "angle")
+    rows = [(7, "cat", 1.4, 2.0, 3.0, 4.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 10.0), (8, "dog", 5.0, 6.0, 7.0, 8.0, 1.0, 1.0, 1.0, 2.0, 2.0, 0.0, 0.0)]
+    text_tables.write_boxes(spark.createDataFrame(rows, "img long, label string, " + ", ".join(f"{n} double" for n in names)), f"{tmp_path}/boxes")
+    back = {r["label"]: tuple(r[n] for n in names) for r in text_tables.read_boxes(spark, f"{tmp_path}/boxes/*/*.txt").collect()}
+    assert back == {"cat": (1, *rows[0][3:]), "dog": rows[1][2:]}
+    for d, n in (("a", "one.txt"), ("a", "two.txt"), ("b", "one.png"), ("b", "three.png")):
+        (tmp_path / d).mkdir(exist_ok=True)
+        (tmp_path / d / n).write_text("1 2\n\n3,x\n")
+    pairs = {r["name"]: (r["a"] is not None, r["b"] is not None) for r in text_tables.paired_files(spark, f"{tmp_path}/a", f"{tmp_path}/b", (".txt", ".png")).collect()}
+    assert pairs == {"one": (True, True), "two": (True, False), "three": (False, True)}
+    assert [(r["row"], r["values"]) for r in text_tables.read_matrix(spark, f"{tmp_path}/a/one.txt").orderBy("row").collect()] == [(0, [1.0, 2.0]), (1, [3.0, None])]

@@ -9,8 +9,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import boxes, colour, transforms
-from ..operators import learning, raster
+from ..functions import boxes, colour, distance, text, transforms
+from ..operators import annotations, learning, raster
 from .queries import line_boxes, query, r6, table
 
 CELLS = "g AS (SELECT CAST(l_linenumber AS BIGINT) AS x, l_orderkey AS y, sum(l_quantity) AS v, sum(l_discount * 100) AS u FROM lineitem GROUP BY ALL)"
@@ -305,3 +305,55 @@ def decimal_revenue(spark, sf_dir):
 def approximate_counts(spark, sf_dir):
     """Approximate distinct counts and quantiles by flag; estimates, so without SQL."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("orders"), F.percentile_approx("l_extendedprice", [0.1, 0.5, 0.9], 1000).alias("prices"))
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE))) AS a, list_transform(embedding[5:8], lambda x: abs(CAST(x AS DOUBLE))) AS b FROM embeddings) "
+       "SELECT vec_id, round(list_sum(list_transform(range(1, 5), lambda i: (a[i] - b[i]) ** 2 / (a[i] + b[i] + 2.220446049250313e-16))) / 2, 6) AS chi, "
+       "round(list_sum(list_transform(range(1, 5), lambda i: abs(list_sum(a[1:i]) - list_sum(b[1:i])))), 6) AS emd FROM e")
+def histogram_distances(spark, sf_dir):
+    """Chi-square and earth mover's distance between the first and the next four numbers of each vector."""
+    part = lambda at: F.transform(F.slice("embedding", at, 4), lambda x: F.abs(x.cast("double")))
+    a, b = part(1), part(5)
+    return table(spark, sf_dir, "embeddings").select("vec_id", r6(distance.chi_square(a, b)).alias("chi"), r6(distance.earth_movers(a, b)).alias("emd"))
+
+
+@query("SELECT p_partkey AS id, round(exp(-((p_size - 25) ** 2) / 200.0::DOUBLE) / (10 * sqrt(2 * pi())), 9) AS density, CAST((p_size - 1) * 100 + (p_partkey % 100 + 1) AS BIGINT) AS place, round(0.299::DOUBLE * p_size + 0.587::DOUBLE * (p_partkey % 256) + 0.114::DOUBLE * 7, 6) AS grey FROM part")
+def scalar_functions(spark, sf_dir):
+    """A normal density, the linear place of a row and column, and a grey value."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    place = transforms.linear_index(p % 100 + 1, size, 100).cast("long")
+    return table(spark, sf_dir, "part").select(p.alias("id"), F.round(transforms.normal_density(size, 25.0, 10.0), 9).alias("density"), place.alias("place"), r6(colour.grey(size, p % 256, F.lit(7))).alias("grey"))
+
+
+@query("SELECT p_partkey AS id, CAST((p_partkey - 1) % 7 + 1 AS BIGINT) AS r, CAST(floor((p_partkey - 1) / 7) + 1 AS BIGINT) AS c, lpad(CAST(p_size AS VARCHAR), 4, '0') AS digits, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), '|') AS words FROM part")
+def places_and_names(spark, sf_dir):
+    """Row and column of a linear place, padded digits, and the words of a name."""
+    r, c = transforms.from_linear_index(F.col("p_partkey"), 7)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), r.cast("long").alias("r"), c.cast("long").alias("c"), text.padded(F.col("p_size"), 4).alias("digits"), F.array_join(text.tokens(F.col("p_name"), " "), "|").alias("words"))
+
+
+@query(f"WITH {BOXES}, p AS (SELECT a.img, a.id, c.id AS other, least(a.x, c.x) AS ux, least(a.y, c.y) AS uy, greatest(a.x + a.w, c.x + c.w) AS ur, greatest(a.y + a.h, c.y + c.h) AS ub, a.x - 3 AS sx, a.y + 2 AS sy FROM b a JOIN b c ON a.img = c.img AND c.id = a.id + 1) SELECT img, id, round(ux, 6) AS x, round(uy, 6) AS y, round(ur - ux, 6) AS w, round(ub - uy, 6) AS h, round(sx, 6) AS moved_x, round(sy, 6) AS moved_y FROM p")
+def box_unions(spark, sf_dir):
+    """Bounding boxes of each box and the next, and the box moved."""
+    b = line_boxes(spark, sf_dir)
+    named = lambda df, p: df.select("img", F.col("id").alias(f"{p}id"), *(F.col(k).alias(f"{p}{k}") for k in "xywh"))
+    pairs = named(b, "a_").join(named(b, "b_").withColumn("a_id", F.col("b_id") - 1), ["img", "a_id"])
+    u, moved = boxes.union(boxes.box("a_"), boxes.box("b_")), boxes.shift(boxes.box("a_"), 3, -2)
+    return pairs.select("img", F.col("a_id").alias("id"), *(r6(v).alias(k) for k, v in zip("xywh", u, strict=True)), r6(moved[0]).alias("moved_x"), r6(moved[1]).alias("moved_y"))
+
+
+@query(f"SELECT vec_id AS id, round({math.cos(0.5)!r}::DOUBLE * embedding[1]::DOUBLE - {math.sin(0.5)!r}::DOUBLE * embedding[2]::DOUBLE + 1, 6) AS x, round({math.sin(0.5)!r}::DOUBLE * embedding[1]::DOUBLE + {math.cos(0.5)!r}::DOUBLE * embedding[2]::DOUBLE - 2, 6) AS y FROM embeddings")
+def rigid_points(spark, sf_dir):
+    p = tuple(F.col("embedding")[i].cast("double") for i in range(2))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(r6(c).alias(k) for k, c in zip("xy", transforms.rigid2d(p, 0.5, [1.0, -2.0]), strict=True)))
+
+
+@query("SELECT l_returnflag AS label, CAST(l_quantity < 10 OR l_quantity > 40 OR l_returnflag = 'N' OR coalesce(l_quantity / l_linenumber NOT BETWEEN 2 AND 20, true) AS BOOLEAN) AS ignored, count(*) AS n FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY ALL")
+def flagged_objects(spark, sf_dir):
+    """Objects (lines) flagged by their label and by ranges of a property and of their shape."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("l_quantity").alias("w"), F.col("l_linenumber").cast("double").alias("h"), F.lit(0).alias("ignore"))
+    found = annotations.flag_out_of_range(rows, {"w": (10, 40), "ratio": (2, 20)}, ["N"], ["R"])
+    return found.groupBy("label", F.col("ignore").alias("ignored")).agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,15 @@ def normal_density(x: Column, mean: float, deviation: float) -> Column:
     return F.exp(-((x - mean) * (x - mean)) / (2 * deviation * deviation)) / (deviation * math.sqrt(2 * math.pi))
 
 
+def normal_density_of(x: list[Column], mean: list[float], covariance: list[list[float]]) -> Column:
+    """Density of a normal distribution over several coordinates; the covariance must be regular."""
+    c = np.asarray(covariance, float)
+    inverse, scale = np.linalg.inv(c).tolist(), 1 / math.sqrt((2 * math.pi) ** len(x) * np.linalg.det(c))
+    d = [a - float(m) for a, m in zip(x, mean, strict=True)]
+    square = sum((d[i] * d[j] * inverse[i][j] for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
+    return F.exp(-square / 2) * float(scale)
+
+
 def linear_index(y: Column, x: Column, height: int) -> Column:
     """1-based place in column order of the 1-based row and column."""
     return (x - 1) * height + y

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distance import sq_euclidean
+from ..storage import dropped, stored
 from .nearest import assign_to_centres
 from .registration import linspace_grid
+from .statistics import order_statistic
 
 
 def mean_vectors(points: DataFrame, key: str) -> DataFrame:
@@ -19,6 +22,63 @@ def mean_vectors(points: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("v"), F.max("n").alias("n"))
 
 
+def without_far(found: DataFrame, share: float) -> DataFrame:
+    """``found`` (id, centre, dist) without the floor(rows * share) rows of greatest distance; rows as near as the nearest kept stay."""
+    n = found.count()
+    return found.where(F.col("dist") <= order_statistic(found, "dist", n - int(n * share))) if n else found
+
+
+def kmeans_trimmed(points: DataFrame, k: int, outliers: float = 0.0, least: int = 1, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(assignments id, centre, dist; centres id, v, n by falling size) of points (id, v array<double>); centre -1 is an outlier.
+
+    In each round the share ``outliers`` of the points, the farthest from their centres, count in no mean, and clusters
+    under ``least`` points are given up. Starts as ``kmeans``; ends when the centres stay. If every cluster is given up, the point of least hash is the centre.
+    """
+    spark = points.sparkSession
+    frame = lambda c: spark.createDataFrame(list(enumerate(c)), "id long, v array<double>")
+    start = [list(map(float, r["v"])) for r in points.orderBy(F.xxhash64("id"), "id").limit(k).collect()]
+    centres, sizes = start, []
+    for _ in range(rounds if start else 0):
+        found = stored(assign_to_centres(points, frame(centres)), "assigned")
+        means = mean_vectors(without_far(found, outliers).join(points, "id"), "centre").where(F.col("n") >= least).orderBy(F.desc("n"), "centre").collect()
+        now, sizes = ([list(r["v"]) for r in means] or start[:1]), [r["n"] for r in means] or [0]
+        dropped(found)
+        still = len(now) == len(centres) and np.allclose(np.sort(now, 0), np.sort(centres, 0), rtol=0, atol=1e-9)
+        centres = now
+        if still:
+            break
+    table = spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(zip(centres, sizes, strict=True))], "id long, v array<double>, n long")
+    if not centres:
+        return points.select("id", F.lit(-1).cast("long").alias("centre"), F.lit(None).cast("double").alias("dist")), table
+    found = stored(assign_to_centres(points, table.select("id", "v")), "assigned")
+    near = without_far(found, outliers).select("id").withColumn("near", F.lit(True))
+    centre = F.when(F.col("near"), F.col("centre")).otherwise(F.lit(-1).cast("long")).alias("centre")
+    return found.join(near, "id", "left").select("id", centre, "dist"), table
+
+
+def radial_width(centres: DataFrame, scale: float = 1.0) -> tuple[dict[int, float], float]:
+    """(width by centre, common width) of centres (id, v), a model of few rows: the squared distance to the nearest other one times ``scale``,
+    a hundredth of the mean at least; the common width is the mean."""
+    rows = {r["id"]: np.asarray(r["v"], float) for r in centres.collect()}
+    near = {a: scale * min((float(((v - w) ** 2).sum()) for b, w in rows.items() if b != a), default=1.0) for a, v in rows.items()}
+    mean = float(np.mean(list(near.values()))) if near else 0.0
+    return {k: max(v, mean / 100) for k, v in near.items()}, mean
+
+
+def radial_features(points: DataFrame, centres: DataFrame, widths: dict[int, float], constant: bool = False, normalise: bool = False) -> DataFrame:
+    """``points`` with ``features``: exp(-squared distance / (2 * width)) for each centre by rising id, a one last if ``constant``, adding up to one if ``normalise``."""
+    model = sorted((r["id"], list(map(float, r["v"]))) for r in centres.collect())
+    lits = F.array(*(F.struct(F.array(*map(F.lit, v)).alias("c"), F.lit(2 * widths[i]).alias("w")) for i, v in model))
+    features = F.transform(lits, lambda m: F.exp(-sq_euclidean(F.col("v"), m.c) / m.w))
+    if constant:
+        features = F.concat(features, F.array(F.lit(1.0)))
+    out = points.withColumn("features", features)
+    if normalise:
+        total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
+        out = out.withColumn("features", F.transform("features", lambda x: x / total))
+    return out
+
+
 def kmeans(points: DataFrame, k: int, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
     """(assignments id, centre, dist; centres id, v, n by falling size) of points (id, v array<double>).
 

@@ -76,3 +76,9 @@ def adjacency(cells: DataFrame, label: str, value: str) -> DataFrame:
     below = cells.select("x", (F.col("y") - 1).alias("y"), F.col(label).alias("_o"), F.col(value).alias("_v"))
     met = cells.join(right.union(below), ["x", "y"]).where(F.col(label) != F.col("_o"))
     return met.groupBy(F.least(label, "_o").alias("a"), F.greatest(label, "_o").alias("b")).agg(F.count("*").alias("n"), F.min(F.least(value, "_v")).alias("least"))
+
+
+def dot_lines(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """line: one of a graph drawing's text for each distinct edge, quotes in names escaped; null ends are left out."""
+    name = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.concat(name(src), F.lit(" -> "), name(dst), F.lit(";")).alias("line")).distinct()

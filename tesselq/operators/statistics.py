@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +75,65 @@ def pca_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     out = [F.avg(c).alias(f"mean_{c}") for c in columns]
     out += [F.covar_pop(a, b).alias(f"cov_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
     return df.agg(*out)
+
+
+def order_statistic(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
+    """The k-th least value (from 1) of a numeric column, exactly; null takes no part, None beyond the last.
+
+    Counts by bin narrow the range until one value is left, so nothing is sorted and at most ``bins`` rows come back a round.
+    """
+    x = F.col(column).cast("double")
+    low, high, n = df.agg(F.min(x), F.max(x), F.count(x)).first()
+    if not 1 <= k <= n:
+        return None
+    while low < high:
+        place = F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1))
+        found = df.where((x >= low) & (x <= high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect()
+        for r in sorted(found, key=lambda r: r["b"]):
+            if k <= r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["n"]
+    return low
+
+
+def spaced(low: float, high: float, n: int, logarithmic: bool = True) -> list[float]:
+    return (np.geomspace if logarithmic else np.linspace)(low, high, n).tolist()
+
+
+def resample_roc(points: DataFrame, key: str, rate: str, value: str, targets: list[float]) -> DataFrame:
+    """key, target, value: the curve (``rate`` falls as ``value`` rises, ends at (0, 1)) read at each of the rates ``targets``.
+
+    Between the last point at or above the target and the first below, linearly; a target above the whole curve gets its
+    first point, one of zero the curve's last point and the end alike. One aggregation, with two small states a target.
+    """
+    ended = points.select(key, F.col(rate).cast("double").alias("r"), F.col(value).cast("double").alias("v")).where("r is not null and v is not null")
+    at = lambda t: (F.min(F.when(F.col("r") >= t, F.struct("r", (-F.col("v")).alias("v")))), F.max(F.when(F.col("r") < t, F.struct("r", (-F.col("v")).alias("v")))), F.max(F.struct("r", (-F.col("v")).alias("v"))))
+    rows = F.array(*(F.struct(F.lit(float(t)).alias("target"), *(c.alias(n) for c, n in zip(at(float(t)), ("above", "below", "first"), strict=True))) for t in targets))
+    found = ended.groupBy(key).agg(rows.alias("t")).select(key, F.explode("t").alias("t")).select(key, "t.*")
+    found = found.withColumn("below", F.coalesce("below", F.struct(F.lit(0.0).alias("r"), F.lit(-1.0).alias("v"))))
+    share = F.when(F.col("above.r") == F.col("below.r"), 0.5).otherwise((F.col("target") - F.col("below.r")) / (F.col("above.r") - F.col("below.r")))
+    read = share * -F.col("above.v") + (1 - share) * -F.col("below.v")
+    return found.select(key, "target", F.when(F.col("above").isNull(), -F.col("first.v")).otherwise(read).alias("value"))
+
+
+def ankles(points: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
+    """The points of each curve where it turns: its ends, and those that leave the last kept x and whose y changes next. A curve is one group."""
+
+    def run(pdf):
+        pdf = pdf.sort_values(order)
+        a, b = pdf[x].tolist(), pdf[y].tolist()
+        kept = []
+        for i in range(len(a)):
+            if i in (0, len(a) - 1) or (a[i] != a[kept[-1]] and b[i] != b[i + 1]):
+                kept.append(i)
+        return pdf.iloc[kept]
+
+    return points.groupBy(key).applyInPandas(run, points.schema)
+
+
+def weighted_cdf(df: DataFrame, keys: list[str], bin_: Column, weight: Column) -> DataFrame:
+    """keys, bin and cdf: the share of the weight in bins up to this one; bins are added up first, so a window holds one row a bin."""
+    sums = df.groupBy(*keys, bin_.alias("bin")).agg(F.sum(weight).alias("_w"))
+    w = Window.partitionBy(*keys)
+    return sums.select(*keys, "bin", (F.sum("_w").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(w)).alias("cdf"))

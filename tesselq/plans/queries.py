@@ -552,6 +552,6 @@ for _fn in (nms_greedy, nms_cover, eval_res, eval_roc, kmeans_clusters, trade_sp
     QUERIES[_fn.__name__] = _fn
 
 # Registers its own queries; at the end, as it uses what stands above.
-from . import raster_queries  # noqa: E402
+from . import model_queries, raster_queries  # noqa: E402, F401
 
 QUERIES["approximate_counts"] = raster_queries.approximate_counts

@@ -126,7 +126,7 @@ def box_mask(spark, sf_dir):
     return grids.boxes_to_mask(tax_boxes(spark, sf_dir), F.col("v")).select("x", "y", F.round("v", 4).alias("v"))
 
 
-@query(f"WITH {BOXES}, c AS (SELECT CAST(floor(x + w / 2) AS BIGINT) AS x, CAST(floor(y + h / 2) AS BIGINT) AS y, sum(v) AS v FROM b GROUP BY ALL) SELECT x - 1.5 AS x, y - 2.0 AS y, 3.0 AS w, 4.0 AS h, round(v, 4) AS score FROM c WHERE v > 500")
+@query(f"WITH {BOXES}, c AS (SELECT CAST(floor(x + w / 2) AS BIGINT) AS x, CAST(floor(y + h / 2) AS BIGINT) AS y, sum(v) AS v FROM b GROUP BY ALL) SELECT x - 1.5::DOUBLE AS x, y - 2.0::DOUBLE AS y, 3.0::DOUBLE AS w, 4.0::DOUBLE AS h, round(v, 4) AS score FROM c WHERE v > 500")
 def mask_boxes(spark, sf_dir):
     """Boxes of 3 by 4 about the cells where the boxes' centres add up to over 500."""
     mask = grids.boxes_to_mask(tax_boxes(spark, sf_dir), F.col("v"), extents=False)

@@ -7,7 +7,8 @@ is looked up there, and postings that agree on an offset between file and notice
 words, vote for that placement. A placement whose score is high enough lacks at most 1 - ``AGREE`` of the
 weight, so its indexed words alone have INDEXED + AGREE - 1 of it, and placements with fewer votes go.
 The others are verified word by word, weighted by rarity, and by a mandatory key phrase that must stand
-inside. Fixed phrases (``PHRASES``) are found in any case.
+inside. Fixed phrases are found in any case: those of ``PHRASES`` are the base and their places count;
+those of ``NAMES``, which every one of ``PHRASES`` contains, only give a label.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import rows_of, table, utf8
 
 #: Fixed phrases and their labels.
-PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Names that are enough for a label, though not for a place; each of ``PHRASES`` holds one of them.
+NAMES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices by label, and the phrases of which one must stand in a match.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
@@ -111,12 +114,12 @@ class Index:
         return min(1.0, sum(self.idf[w] for i, w in enumerate(own) if w in window[max(0, i + shift - SLACK) : max(0, i + shift + SLACK + 1)]) / self.weight[t])
 
 
-def phrase_places(words: list[bytes]) -> tuple[set[str], list[int]]:
-    """Labels of ``PHRASES`` in a text, and the start of each place, counted in words."""
+def phrase_places(words: list[bytes], phrases: dict[str, str] = NAMES) -> tuple[set[str], list[int]]:
+    """Labels of ``phrases`` in a text, and the start of each place, counted in words."""
     labels: set[str] = set()
     places: list[int] = []
     text = b" " + b" ".join(words) + b" "
-    for phrase, label in PHRASES.items():
+    for phrase, label in phrases.items():
         own = b" " + phrase.encode() + b" "
         at, last, word = text.find(own), 0, 0
         while at >= 0:
@@ -145,9 +148,9 @@ def document_frequency(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
 
 
 def label_licenses(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): words, phrase places, labels and score.
+    """One row for each row of ``docs`` (doc_id, text): words, places of ``PHRASES``, labels and score.
 
-    score is that of the best placement, 0.5 where only a fixed phrase stands, 0 without labels. Null and empty
+    score is that of the best placement, 0.5 where only a phrase or name stands, 0 without labels. Null and empty
     texts have no words. Equal placements count once; repeated rows come out as often as they go in and
     count as often in the document frequencies; null ids stay null; other columns are ignored; an empty
     table gives no rows.
@@ -161,15 +164,16 @@ def label_licenses(docs: DataFrame) -> DataFrame:
             n_words, n_base, first, last, base, labels, score = ([] for _ in range(7))
             for t in utf8(part.column("text")):
                 words = words_of(t)
-                own, places = phrase_places(words)
+                named, _ = phrase_places(words)
+                own, places = phrase_places(words, PHRASES) if named else (set(), [])
                 found = index.match(words)
                 n_words.append(len(words))
                 n_base.append(len(places))
                 first.append(min(places, default=None))
                 last.append(max(places, default=None))
                 base.append(",".join(sorted(own)))
-                labels.append(",".join(sorted(own | found.keys())))
-                score.append(max(found.values(), default=0.5 if own else 0.0))
+                labels.append(",".join(sorted(named | found.keys())))
+                score.append(max(found.values(), default=0.5 if named else 0.0))
             longs = {"n_words": n_words, "n_base": n_base, "first_word": first, "last_word": last}
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": part.column("doc_id").combine_chunks()} | {k: pa.array(v, pa.int64()) for k, v in longs.items()}

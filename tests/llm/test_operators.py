@@ -194,6 +194,25 @@ def test_phrase_places_of_a_long_text():
     assert labels == {"mit", "cc-by-nc"} and len(places) == 120_000 and sorted(places)[:3] == [0, 3, 6]
 
 
+def test_base_phrases_of_the_contract(spark):
+    """The phrases as the contract has them; a licence that is only named gets a label of the method's, no place."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    rng = random.Random(9)
+    rows = [(1, "see the MIT license"), (2, "Under the MIT License, under\xa0the mit license"), (3, "x UNDER-the\tmit\nlicense"), (4, "cc by nc by nc cc by ncs"), (5, None), (6, "\u212aunder the mit license \x1c\x00")]
+    words = "under the mit license apache version 2 cc by nc é".split()
+    rows += [(10 + i, "".join(rng.choice(words) + rng.choice(" -\n") for _ in range(400))) for i in range(20)]
+    rows += [(50 + i, " ".join(rng.choice([*phrases, "the mit license", "é"]) for _ in range(rng.randrange(12)))) for i in range(60)]
+    found = {r["doc_id"]: r for r in licenses.label_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+        places = [(i, x) for p, x in phrases.items() for i in range(len(own)) if own[i : i + len(p.split())] == p.split()]
+        r = found[k]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(own), len(places), ",".join(sorted({x for _, x in places})))
+        assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert {x for _, x in places} <= set(r["labels"].split(",")) | {""}
+    assert (found[1]["n_base"], found[1]["base_labels"], found[1]["labels"]) == (0, "", "mit") and found[3]["first_word"] == 1
+
+
 # 3
 
 

@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = 16) -
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group of ``near_copies.groups`` the row of smallest doc_id stays, all columns as they were.
 
-    The fingerprints of the query play no part here. Rows are told apart by doc_id and text; of rows equal in both
+    Its candidates come from deletion variants of SimHash fingerprints too, of more bits than the query's. Rows are told apart by doc_id and text; of rows equal in both
     one stays. Rows with a null doc_id stay, as nothing names them.
     """
     row = F.xxhash64("doc_id", "text")

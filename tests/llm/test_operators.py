@@ -620,6 +620,38 @@ def test_keep_one_against_all_pairs(spark, bucket, monkeypatch):
     assert kept == sorted(least.values()) and 40 < len(kept) < 120
 
 
+@pytest.mark.parametrize("sizes", [(4, 5, 4), (9, 9, 8), (90, 90, 80), (300, 240, 240), (700, 700, 0)])
+def test_near_copies_meet_in_simhash_variants(sizes):
+    """Sets of similarity 0.8 share a deletion variant and are near in the first 256 bits, unlike ones aren't near; bits and variants as plain versions have them."""
+    rng = np.random.default_rng(3)
+    a, b, common = sizes
+    sets = [[], []]
+    for _ in range(200):
+        both = rng.integers(0, 2**64, common, np.uint64)
+        for x, n in zip(sets, (a, b), strict=True):
+            x.append(np.sort(np.concatenate((both, rng.integers(0, 2**64, n - common, np.uint64)))))
+    (xs, xlow), (ys, ylow) = (near_copies.sketches(x) for x in sets)
+    checks = [np.concatenate((x, y)) for x, y in zip(xs.T[:4], ys.T[:4], strict=True)]
+    near = near_copies.apart(checks, np.arange(200), np.arange(200, 400)) <= near_copies.APART
+    assert near.all() if common else not near.any()
+    routes = [near_copies.routes(x, low, 0, near_copies.SEGMENTS) for x, low in ((xs, xlow), (ys, ylow))]
+    for i in range(200):
+        met = set(np.intersect1d(*(near_copies.variants(r[i])[0] for r in routes)) >> 20)
+        differ, low = (xs[i] ^ ys[i]).view("<u2"), (xlow[i] & ylow[i]).view("<u2")
+        plain = {s for s in range(near_copies.SEGMENTS) if low[s] and not differ[s] or int(differ[s]).bit_count() == 1 and differ[s] & low[s]}
+        assert met == plain and (met or not common)
+    weights = [sum(2 * (m >> 8 * k & 255) - 255 for m in mixed) for f in near_copies.FACTORS.tolist() for mixed in [[plain_mixed(h, f) for h in sets[0][0].tolist()]] for k in range(8)]
+    assert np.unpackbits(xs[0].view(np.uint8), bitorder="little").tolist() == [int(w > 0) for w in weights]
+    for s, low in enumerate(xlow[0].view("<u2").tolist()):
+        size = [abs(w) for w in weights[16 * s : 16 * s + 16]]
+        assert low.bit_count() == near_copies.DELETED and max(size[k] for k in range(16) if low >> k & 1) <= min(size[k] for k in range(16) if not low >> k & 1)
+
+
+def plain_mixed(h, factor):
+    h = h * factor % 2**64
+    return (h ^ h >> 32) * int(near_copies.MIX) % 2**64
+
+
 def test_connected(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + rng.randrange(60), 2000 + rng.randrange(60)) for _ in range(50)]

@@ -12,8 +12,10 @@ one node, so exact copies never meet in pairs.
 A bucket is worked off in rounds. In each, some of its nodes are held against all others of the bucket
 that they aren't yet linked with, and leave it; it is done when its nodes are one group. A large group of
 near copies so takes few comparisons, and none that could link two groups is left out. The buckets of a few
-segments come first, which link most of what there is to link. A node's set goes once to each part of the
-stored sets that holds some of its partners, with the list of them; pairs are never rows.
+segments come first, which link most of what there is to link; the others go on with as many comparisons a
+round as these came to, as nearly all that they hold apart has to be compared. A node has one row for each unit of
+buckets (see ``routes``), not for each bucket, and its partners in a unit are one list. Its set goes once to each
+part of the stored sets that holds some of its partners, with the list of them; pairs are never rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ PORTIONS = ((0, 4), (4, 24), (24, 44))
 APART, CHECKS = 68, ("c0", "c1", "c2", "c3")
 #: Buckets up to this size are compared whole at once; of larger ones PIVOTS ** round nodes are taken.
 BUCKET, PIVOTS = 16, 8
+#: Pairs that a task holds before it passes them on.
+LISTED = 200_000
 #: Shingle hashes in one part of the stored sets.
 PART_HASHES = 2_000_000
 #: An odd factor for each eight bits of the fingerprint, and an odd constant that mixes whole hashes.
@@ -174,7 +178,7 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, hashes array<long>")
 
 
-COLUMNS = ("key", "node", "size", "comp", *CHECKS)
+COLUMNS = ("route", "node", "size", "comp", *CHECKS)
 TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), *(pa.int64() for _ in CHECKS))
 #: Bits of a route after its unit, and of a set's size behind it.
 ROUTE_BITS, SIZE_BITS = 16, 32
@@ -209,13 +213,20 @@ def _buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = COLUM
 
 
 def _round(number: int, parts: int, least: float):
-    """mapInArrow function over rows sorted by key: lists of partners (a, part, bs), and the rows of buckets not done."""
+    """mapInArrow function over rows sorted by route: lists of partners (a, part, bs), and the rows of buckets not done.
 
-    def lists(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        """Of pairs, a row for each run of equal (a, part)."""
+    All buckets of a unit are worked together: of a pair that meets in several of them one is listed, a node's partners there are
+    one list a part, and its row is one, whose route has the places of the buckets not done.
+    """
+
+    def lists(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Of pairs, without repeats, a row for each run of equal (a, part)."""
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         part = (b % parts).astype(np.int32)
         order = np.lexsort((b, part, a))
         a, b, part = a[order], b[order], part[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        a, b, part = a[new], b[new], part[new]
         begins = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]))))
         bs = pa.ListArray.from_arrays(pa.array(np.append(begins, len(b)).astype(np.int32)), pa.array(b))
         n = len(begins)
@@ -232,11 +243,14 @@ def _round(number: int, parts: int, least: float):
         return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, comp, *check in _buckets(batches):
+        for unit, node, size, comp, *check, tail in _buckets(batches, COLUMNS, ROUTE_BITS):
+            key, row = variants(unit << ROUTE_BITS | tail)
             begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             n = np.diff(np.append(begins, len(key)))
+            pairs, listed = [], 0
             cold = np.repeat(n <= BUCKET, n)
-            k, v, s, c, *own = (z[cold] for z in (key, node, size, comp, *check))
+            k = key[cold]
+            v, s, c, *own = (z[row[cold]] for z in (node, size, comp, *check))
             for step in range(1, min(BUCKET, len(k))):
                 at = np.flatnonzero(k[step:] == k[:-step])
                 if not len(at):
@@ -244,23 +258,34 @@ def _round(number: int, parts: int, least: float):
                 at = at[(c[at] != c[at + step]) & near(s[at], s[at + step])]
                 at = at[apart(own, at, at + step) <= APART]
                 if len(at):
-                    yield lists(np.minimum(v[at], v[at + step]), np.maximum(v[at], v[at + step]))
+                    pairs.append((np.minimum(v[at], v[at + step]), np.maximum(v[at], v[at + step])))
+                    listed += len(at)
+            places = np.zeros(len(unit), np.int64)
             for i in np.flatnonzero(n > BUCKET):
-                at = slice(begins[i], begins[i] + n[i])
+                at = row[begins[i] : begins[i] + n[i]]
                 v, s, c, *own = (z[at] for z in (node, size, comp, *check))
                 _, group, count = np.unique(c, return_inverse=True, return_counts=True)
                 if len(count) == 1:
                     continue
-                order = np.argsort(count[group], kind="stable")  # nodes of small groups first
+                order = np.lexsort((v, count[group]))  # nodes of small groups first, the same ones in every bucket if groups are of one size
                 for j, p in enumerate(order[: PIVOTS**number]):
                     others = order[j + 1 :]
                     others = others[(c[others] != c[p]) & near(s[others], s[p])]
                     others = others[apart(own, others, p) <= APART]
                     if len(others):
-                        yield lists(np.full(len(others), v[p]), v[others])
+                        pairs.append((np.full(len(others), v[p]), v[others]))
+                        listed += len(others)
+                    if listed >= LISTED:
+                        yield lists(pairs)
+                        pairs, listed = [], 0
                 left = order[PIVOTS**number :]
                 if len(left) and (c[left] != c[left[0]]).any():
-                    yield rest([z[at][left] for z in (key, node, size, comp, *check)])
+                    places[at[left]] |= 1 << (key[begins[i]] >> 8 & 7)
+            if pairs:
+                yield lists(pairs)
+            on = places > 0
+            if on.any():
+                yield rest([(unit << ROUTE_BITS | tail & ~255 | places)[on], *(z[on] for z in (node, size, comp, *check))])
 
     return run
 
@@ -299,7 +324,7 @@ def _verify(least: float):
 
 
 def _met(unique: DataFrame, first: int, last: int) -> DataFrame:
-    """Rows (key, node, size and ``CHECKS``, the first 256 bits) of segments ``first`` to ``last`` that have a candidate in their bucket."""
+    """Rows (route, node, size and ``CHECKS``, the first 256 bits) of segments ``first`` to ``last``, each with the places where it has a candidate in its bucket."""
     longs = SEGMENTS * SEGMENT_BITS // 64
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +339,7 @@ def _met(unique: DataFrame, first: int, last: int) -> DataFrame:
     def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, node, *check, tail in _buckets(batches, ("packed", "node", *CHECKS), ROUTE_BITS + SIZE_BITS):
             key, row = variants(unit << ROUTE_BITS | tail >> SIZE_BITS)
-            node, size, *check = (x[row] for x in (node, tail & ((1 << SIZE_BITS) - 1), *check))
+            bits = [x[row] for x in check]
             ok = np.zeros(len(key), bool)
             begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             n = np.diff(np.append(begins, len(key)))
@@ -325,20 +350,24 @@ def _met(unique: DataFrame, first: int, last: int) -> DataFrame:
                 at = at[key[at] == key[at + step]]
                 if not len(at):
                     break
-                hit = at[apart(check, at, at + step) <= APART]
+                hit = at[apart(bits, at, at + step) <= APART]
                 ok[hit] = ok[hit + step] = True
             for i in np.flatnonzero(n > 8 * BUCKET):
                 # A node known to have a candidate isn't compared itself, so a large group of copies takes few passes.
-                found, *own = (z[begins[i] : begins[i] + n[i]] for z in (ok, *check))
+                found, *own = (z[begins[i] : begins[i] + n[i]] for z in (ok, *bits))
                 for p in range(n[i]):
                     if not found[p]:
                         hit = apart(own, slice(None), p) <= APART
                         if np.count_nonzero(hit) > 1:
                             found |= hit
-            yield pa.RecordBatch.from_pydict({"key": key[ok], "node": node[ok], "size": size[ok].astype(np.int32)} | {c: x[ok] for c, x in zip(CHECKS, check, strict=True)})
+            places = np.bincount(row[ok], 1 << (key[ok] >> 8 & 7), len(unit)).astype(np.int64)
+            on = places > 0
+            route = unit << ROUTE_BITS | tail >> SIZE_BITS & ~255 | places
+            size = (tail & ((1 << SIZE_BITS) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"route": route[on], "node": node[on], "size": size[on]} | {c: x[on] for c, x in zip(CHECKS, check, strict=True)})
 
     rows = unique.mapInArrow(spread, f"packed long, node long, {CHECK_SCHEMA}").repartition(F.shiftright("packed", ROUTE_BITS + SIZE_BITS)).sortWithinPartitions("packed")
-    return rows.mapInArrow(crowded, f"key long, node long, size int, {CHECK_SCHEMA}")
+    return rows.mapInArrow(crowded, f"route long, node long, size int, {CHECK_SCHEMA}")
 
 
 def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -356,12 +385,12 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
     texts = docs.select("row", "text").join(bounded(one), "row").select("node", "text")
     sets = materialize(sets_of(texts, shingle).dropDuplicates(["node"]), "sets")
     parts = max(1, -(-(sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) // PART_HASHES))
-    schema = f"key long, node long, size int, comp long, {CHECK_SCHEMA}"
+    schema = f"route long, node long, size int, comp long, {CHECK_SCHEMA}"
+    number = 0  # goes on over both: what the first few segments leave apart must be compared, and more rounds would only carry it along
     for rows in (met[0], functools.reduce(DataFrame.union, met[1:])):
         left = materialize(rows.join(labels, "node").select(*COLUMNS), "buckets")
-        number = 0
         while not left.isEmpty():
-            worked = left.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_round(number, parts, similarity), f"{schema}, a long, part int, bs array<long>")
+            worked = left.repartition(F.shiftright("route", ROUTE_BITS)).sortWithinPartitions("route", "node").mapInArrow(_round(number, parts, similarity), f"{schema}, a long, part int, bs array<long>")
             worked = materialize(worked, "round")
             lists = worked.where("bs is not null").groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
             lists = materialize(lists, "lists")

@@ -620,6 +620,37 @@ def test_keep_one_against_all_pairs(spark, bucket, monkeypatch):
     assert kept == sorted(least.values()) and 40 < len(kept) < 120
 
 
+def test_near_copies_rows_of_a_large_group(spark, monkeypatch):
+    """A large group of texts of similarity 0.5 to 0.8, few of which link, makes a row or list for each node and unit at most, not for each bucket and round."""
+    rng = random.Random(8)
+    text = " ".join(prose(2, 90))
+    words = text.split()
+    rows = [(0, text)]
+    for i in range(1, 150):
+        at = rng.sample(range(len(words)), 3)
+        rows.append((i, " ".join(w + "x" * (k in at) for k, w in enumerate(words))))
+    rows += [(200, text + " end"), (201, "start " + text)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(rows)))
+    for a, b in links:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    made, materialize = [], near_copies.materialize
+
+    def counted(df, tag, by=None):
+        out = materialize(df, tag, by)
+        if tag == "round":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    monkeypatch.setattr(near_copies, "BUCKET", 4)
+    comp = {r["doc_id"]: r["comp"] for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "doc_id as row", "text")).collect()}
+    same = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if comp[rows[a][0]] == comp[rows[b][0]]}
+    assert same == {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if root[a] == root[b]}
+    assert sum(made) <= 2 * near_copies.SEGMENTS * len(rows)
+
+
 @pytest.mark.parametrize("sizes", [(4, 5, 4), (9, 9, 8), (90, 90, 80), (300, 240, 240), (700, 700, 0)])
 def test_near_copies_meet_in_simhash_variants(sizes):
     """Sets of similarity 0.8 share a deletion variant and are near in the first 256 bits, unlike ones aren't near; bits and variants as plain versions have them."""
